@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, jaccard, packing, token_files
+from quern.llm import decontaminate, jaccard, licenses, packing, token_files
 from quern.llm.scratch import scratch_path
 from quern.llm.tokens import default_vocabulary
 
@@ -26,6 +26,10 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))[0].drop("rid")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, default_vocabulary(), end_id=1)
@@ -36,6 +40,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_packing": op3_packing,
     "op4_jaccard": op4_jaccard,
+    "op5_licenses": op5_licenses,
     "op8_token_files": op8_token_files,
 }
 
