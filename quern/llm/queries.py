@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, jaccard, licenses, packing, token_files
+from quern.llm import decontaminate, jaccard, licenses, packing, preferences, quality, secrets, token_files, toxicity
 from quern.llm.scratch import scratch_path
 from quern.llm.tokens import default_vocabulary
 
@@ -36,12 +36,43 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read_token_files(spark, path))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan_versions(docs, scratch_path(spark, "ledger"))
+    base = F.filter("findings", lambda x: x["rank"] < len(secrets.BASE_RULES))
+    return found.select(
+        "doc_id",
+        *(secrets.count_of("findings", r).alias(f"n_{r.kind}") for r in secrets.BASE_RULES),
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+        secrets.joined(F.col("findings")).alias("spans"),
+    )
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.score_texts(docs, quality.train(docs, labels), threshold=0.3)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score_texts(docs, toxicity.train(docs, labels), threshold=0.5)
+
+
+def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = preferences.gather_turns(table(spark, sf_dir, "conversations"))
+    return preferences.preference_pairs(preferences.swapped_replies(conversations))
+
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_packing": op3_packing,
     "op4_jaccard": op4_jaccard,
     "op5_licenses": op5_licenses,
+    "op6_quality": op6_quality,
+    "op7_secrets": op7_secrets,
     "op8_token_files": op8_token_files,
+    "op9_toxicity": op9_toxicity,
+    "op10_preferences": op10_preferences,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -65,11 +65,16 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
-def word_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word, and the n + 1 word offsets of the rows."""
+def word_hashes(col: pa.Array, prefixes: tuple[int, ...] = ()) -> tuple:
+    """A 64-bit hash of every word, and the n + 1 word offsets of the rows.
+
+    With ``prefixes`` also an array for each: the hashes of the words' first so
+    many bytes, 0 where a word is not longer.
+    """
     data, offs = text_bytes(col)
     inner = offs[1:-1]
     parts, where, lo = [], [], 0
+    heads: list[list[np.ndarray]] = [[np.zeros(0, U64)] for _ in prefixes]
     while lo < len(data):
         hi = min(lo + CHUNK, len(data))
         while hi < len(data):  # cut where no word is cut
@@ -90,11 +95,14 @@ def word_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         c[0] = 0
         np.cumsum(_BYTE[b] * up[: len(b)], out=c[1:])
         parts.append(mix((c[e] - c[s]) * down[s]))
+        for p, head in zip(prefixes, heads):
+            longer = e - s > p
+            head.append(np.where(longer, mix((c[np.minimum(s + p, e)] - c[s]) * down[s] + U64(p)), U64(0)))
         where.append(s + lo)
         lo = hi
     if not parts:
-        return np.zeros(0, U64), np.zeros(len(offs), np.int64)
-    return np.concatenate(parts), np.searchsorted(np.concatenate(where), offs)
+        return np.zeros(0, U64), np.zeros(len(offs), np.int64), *(h[0] for h in heads)
+    return np.concatenate(parts), np.searchsorted(np.concatenate(where), offs), *map(np.concatenate, heads)
 
 
 def hash_words(words: list[str]) -> np.ndarray:
