@@ -1 +1 @@
-
+"""Functions of values and of groups."""

@@ -45,8 +45,8 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, *, capacity: int = 2048, e
             for lo in range(0, batch.num_rows, 512):
                 b = batch.slice(lo, 512)
                 rows: list[tuple] = []
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    packed = enc.packed(text) + end
+                for doc, packed in zip(b.column(0).to_pylist(), enc.packed_all(b.column(1).to_pylist())):
+                    packed += end
                     total = len(packed) // 4
                     for k, at in enumerate(range(0, total, capacity)):
                         raw, n = packed[4 * at : 4 * (at + capacity)], min(capacity, total - at)
@@ -161,7 +161,7 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = 2048, max_documents: int |
             cols = [*b.columns[: len(names)], pa.array(r[:, 2] + seq), pa.array(r[:, 4] + nth * n)]
             yield pa.RecordBatch.from_arrays(cols, [*names, "sequence_id", "offset"])
 
-    ranked = pieces.join(ranks, ["length", "part"]).select(*names, (F.col("rank") + F.col("nth")).alias("__rank"))
+    ranked = pieces.join(ranks.hint("merge"), ["length", "part"]).select(*names, (F.col("rank") + F.col("nth")).alias("__rank"))
     return ranked.mapInArrow(place, spec)
 
 

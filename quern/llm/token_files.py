@@ -43,7 +43,7 @@ def write_token_files(
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 b = batch.slice(lo, 512)
-                packed = [enc.packed(t) + end for t in b.column(1).to_pylist()]
+                packed = [p + end for p in enc.packed_all(b.column(1).to_pylist())]
                 n = np.fromiter((len(p) // 4 for p in packed), np.int64, len(packed))
                 ends = np.cumsum(n)
                 ids = pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32))

@@ -15,6 +15,10 @@ import os
 import numpy as np
 
 KEPT = 1_500_000
+#: Characters cut into pieces at once, about.
+BATCH = 1 << 20
+#: Symbols that may close a word; none of them can join it, as an apostrophe could.
+CLOSING = ".,;:!?#$%&*|()-"
 _open: dict[str, "Encoder"] = {}
 
 
@@ -33,40 +37,63 @@ class Encoder:
         self.seen: dict[str, bytes] = {"": b""}
 
     def _ask(self, pieces: list[str]) -> None:
-        if len(self.seen) > KEPT:
-            self.seen = {"": b""}
-        seen, todo = self.seen, []
+        seen, split, letters, rest = self.seen, [], {}, {}
         for p in pieces:
-            head, tail = p[:-1], p[-1:]
-            # a closing full stop or comma after letters is a token of its own
-            if tail in (".", ",") and head.isalpha() and head.isascii():
-                todo += [x for x in (head, tail) if x not in seen]
-            elif p not in seen:
-                todo.append(p)
-        todo = list(dict.fromkeys(todo))
-        for p, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)):
-            seen[p] = np.asarray(e.ids, "<u4").tobytes()
-        for p in pieces:
-            if p not in seen:
-                seen[p] = seen[p[:-1]] + seen[p[-1:]]
+            head = p.rstrip(CLOSING)
+            if head and head.isalpha():  # letters are one token word, and so is what closes them
+                if max(head) < "\u0100":  # lower case is one to one here and composes nothing
+                    head, tail = head.lower(), p[len(head) :]
+                else:
+                    tail = p[len(head) :]
+                split.append((p, head, tail))
+                if head not in seen:
+                    letters[head] = None
+                if tail not in seen:
+                    rest[tail] = None
+            else:
+                rest[p] = None
+        self._ask_letters(list(letters))
+        self._ask_each(list(rest))
+        for p, head, tail in split:
+            seen[p] = seen[head] + seen[tail]
+
+    def _ask_each(self, pieces: list[str]) -> None:
+        for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
+            self.seen[p] = np.asarray(e.ids, "<u4").tobytes()
+
+    def _ask_letters(self, pieces: list[str]) -> None:
+        """Pieces of letters only, many to one call; each is one word of the answer."""
+        for lo in range(0, len(pieces), 1000):
+            some = pieces[lo : lo + 1000]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            raw, word = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
+            if not len(word) or word[-1] != len(some) - 1:
+                self._ask_each(some)
+                continue
+            at = (4 * np.searchsorted(word, np.arange(len(some) + 1))).tolist()
+            self.seen.update(zip(some, (raw[i:j] for i, j in zip(at[:-1], at[1:]))))
+
+    def packed_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text (null: none) as little-endian unsigned 32-bit integers."""
+        out, lo = [], 0
+        while lo < len(texts):
+            cut, size = [], 0
+            while lo < len(texts) and size < BATCH:
+                t = texts[lo] or ""
+                cut.append(t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+                size += len(t)
+                lo += 1
+            if len(self.seen) > KEPT:
+                self.seen = {"": b""}
+            new = set().union(*cut)
+            new.difference_update(self.seen)
+            self._ask(sorted(new))
+            known = self.seen.__getitem__
+            out += [b"".join(map(known, pieces)) for pieces in cut]
+        return out
 
     def packed(self, text: str | None) -> bytes:
-        """The ids of a text (null: none) as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        try:
-            return b"".join(map(self.seen.__getitem__, pieces))
-        except KeyError:
-            self._ask([p for p in dict.fromkeys(pieces) if p not in self.seen])
-            if all(p in self.seen for p in pieces):
-                return b"".join(map(self.seen.__getitem__, pieces))
-            return b"".join(self._one(p) for p in pieces)  # the store was emptied meanwhile
-
-    def _one(self, piece: str) -> bytes:
-        if piece not in self.seen:
-            self._ask([piece])
-        return self.seen[piece]
+        return self.packed_all([text])[0]
 
 
 def encoder(path: str) -> Encoder:

@@ -1 +1 @@
-
+"""Registered queries and plan inspection."""

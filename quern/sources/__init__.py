@@ -1 +1 @@
-
+"""Tables from and to files and rows."""
