@@ -11,12 +11,14 @@ piece and is left to the library.
 from __future__ import annotations
 
 import os
+from itertools import compress
+from operator import add
 
 import numpy as np
 
-KEPT = 1_500_000
+KEPT = 300_000
 #: Characters cut into pieces at once, about.
-BATCH = 1 << 20
+BATCH = 4 << 20
 #: Symbols that may close a word; none of them can join it, as an apostrophe could.
 CLOSING = ".,;:!?#$%&*|()-"
 _open: dict[str, "Encoder"] = {}
@@ -31,46 +33,43 @@ def default_vocabulary() -> str:
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.seen: dict[str, bytes] = {"": b""}
+        # For words of lower-case Latin-1 letters the normalizer does nothing and blanks alone cut.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+        self.ends_word = np.array([(n or "").endswith("</w>") for n in names])
 
     def _ask(self, pieces: list[str]) -> None:
-        seen, split, letters, rest = self.seen, [], {}, {}
-        for p in pieces:
-            head = p.rstrip(CLOSING)
-            if head and head.isalpha():  # letters are one token word, and so is what closes them
-                if max(head) < "\u0100":  # lower case is one to one here and composes nothing
-                    head, tail = head.lower(), p[len(head) :]
-                else:
-                    tail = p[len(head) :]
-                split.append((p, head, tail))
-                if head not in seen:
-                    letters[head] = None
-                if tail not in seen:
-                    rest[tail] = None
-            else:
-                rest[p] = None
-        self._ask_letters(list(letters))
-        self._ask_each(list(rest))
-        for p, head, tail in split:
-            seen[p] = seen[head] + seen[tail]
+        heads = [p.rstrip(CLOSING) for p in pieces]
+        able = [h.isalpha() and (h.isascii() or max(h) < "\u0100") for h in heads]
+        # letters are one word to the vocabulary, and so is what closes them
+        whole = list(compress(pieces, able))
+        tails = [p[len(h) :] for p, h in zip(whole, compress(heads, able))]
+        heads = [h.lower() for h in compress(heads, able)]
+        known = self.seen
+        self._ask_each([p for p, a in zip(pieces, able) if not a] + [t for t in set(tails) if t not in known])
+        self._ask_words([h for h in set(heads) if h not in known])
+        known.update(zip(whole, map(add, map(known.__getitem__, heads), map(known.__getitem__, tails))))
 
     def _ask_each(self, pieces: list[str]) -> None:
         for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
             self.seen[p] = np.asarray(e.ids, "<u4").tobytes()
 
-    def _ask_letters(self, pieces: list[str]) -> None:
-        """Pieces of letters only, many to one call; each is one word of the answer."""
+    def _ask_words(self, pieces: list[str]) -> None:
+        """Lower-case words, many to one call; a token that ends a word says so."""
         for lo in range(0, len(pieces), 1000):
             some = pieces[lo : lo + 1000]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            raw, word = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
-            if not len(word) or word[-1] != len(some) - 1:
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * np.flatnonzero(self.ends_word[ids]) + 4
+            if len(ends) != len(some) or ends[-1] != 4 * len(ids):
                 self._ask_each(some)
                 continue
-            at = (4 * np.searchsorted(word, np.arange(len(some) + 1))).tolist()
+            raw, at = ids.tobytes(), [0, *ends.tolist()]
             self.seen.update(zip(some, (raw[i:j] for i, j in zip(at[:-1], at[1:]))))
 
     def packed_all(self, texts: list[str | None]) -> list[bytes]:
@@ -87,7 +86,7 @@ class Encoder:
                 self.seen = {"": b""}
             new = set().union(*cut)
             new.difference_update(self.seen)
-            self._ask(sorted(new))
+            self._ask(list(new))
             known = self.seen.__getitem__
             out += [b"".join(map(known, pieces)) for pieces in cut]
         return out
