@@ -103,7 +103,12 @@ def _lists(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return col.values.to_numpy(zero_copy_only=False).astype(np.int64), o
 
 
-def clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is in no contaminated pair; rows with a null id are judged together."""
-    bad = contaminated(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["__bad"]), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose text is in no contaminated pair.
+
+    Texts stand for rows here, by their hash, so rows without an id or with a
+    repeated one are judged each by its own text.
+    """
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    bad = contaminated(docs.select(key.alias("__text"), text_col), items, id_col="__text", text_col=text_col, **options)
+    return docs.withColumn("__text", key).join(bad.select(F.col("doc_id").alias("__text")).distinct(), "__text", "left_anti").drop("__text").select(*docs.columns)
