@@ -36,6 +36,7 @@ class Field:
             return V.to_double(F.trim(raw))
         if self.kind == "instant":
             return V.to_instant(V.parse_instant(F.nullif(raw, F.lit("NA")), self.pattern))
+        raw = F.coalesce(raw, F.lit(""))  # the reader gives an empty field as NULL
         return F.nullif(raw, F.lit(self.missing)) if self.missing is not None else raw
 
 
