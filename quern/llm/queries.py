@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, jaccard, licenses, neighbours, packing, preferences, quality, secrets, token_files, toxicity
 from quern.llm.scratch import scratch_path
+from quern.llm.sql import ORACLE_SQL
 from quern.llm.tokens import default_vocabulary
 
 
@@ -80,4 +81,4 @@ QUERIES = {
     "op10_preferences": op10_preferences,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,31 +78,37 @@ class Machine:
         return self._table
 
 
-def pick_terms(term: np.ndarray, row: np.ndarray, y: np.ndarray, most: int, least_rows: int) -> np.ndarray:
+def pick_terms(rows: list[np.ndarray], y: np.ndarray, most: int, least_rows: int) -> np.ndarray:
     """The terms whose presence tells the classes apart best (largest chi-square)."""
-    df = np.bincount(term, minlength=1 << BITS).astype(float)
-    hit = np.bincount(term, y[row], 1 << BITS)
-    n, p = len(y), y.sum()
-    expected = df * p / max(n, 1)
-    chi = (hit - expected) ** 2 / np.maximum(expected * (1 - p / n) * (1 - df / n), 1e-9)
-    able = np.flatnonzero((df >= least_rows) & (chi > 3.84))
-    return np.sort(able[np.argsort(-chi[able], kind="stable")[:most]])
-
-
-def fit(term: np.ndarray, row: np.ndarray, y: np.ndarray, *, terms: int = 6000, factors: int = 4, epochs: int = 12, rate: float = 0.03, l2: float = 1e-4, batch: int = 512, least_rows: int = 4, seed: int = 7) -> Machine:
-    """Minimise the logistic loss by Adam over batches of rows in a fixed random order."""
+    df, hit = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for terms, one in zip(rows, y):
+        df[terms] += 1
+        if one:
+            hit[terms] += 1
+    able = np.flatnonzero(df >= least_rows)
+    d, n, p = df[able].astype(float), len(y), y.sum()
+    expected = d * p / n
+    chi = (hit[able] - expected) ** 2 / np.maximum(expected * (1 - p / n) * (1 - d / n), 1e-9)
+    able, chi = able[chi > 3.84], chi[chi > 3.84]
+    return np.sort(able[np.argsort(-chi, kind="stable")[:most]])
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, *, terms: int = 6000, factors: int = 4, epochs: int = 12, rate: float = 0.03, l2: float = 1e-4, batch: int = 512, least_rows: int = 4, seed: int = 7) -> Machine:
+    """Minimise the logistic loss by Adam over batches of rows in a fixed random order.
+
+    ``rows``: the distinct term numbers of each row.
+    """
     rng = np.random.default_rng(seed)
     if not len(y) or y.min() == y.max():
         base = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
         return Machine(np.zeros(0, np.int64), base, np.zeros(0), np.zeros((0, factors)))
-    known = pick_terms(term, row, y, terms, least_rows)
+    known = pick_terms(rows, y, terms, least_rows)
     at = np.full(1 << BITS, -1, np.int32)
     at[known] = np.arange(len(known))
-    keep = at[term] >= 0
-    term, row = at[term[keep]], row[keep]  # rows ascend
+    kept = [k[k >= 0] for k in (at[r] for r in rows)]
+    term, offs = np.concatenate(kept), np.concatenate(([0], np.cumsum([len(k) for k in kept])))
     share = y.mean()
     w, v, b = np.zeros(len(known)), rng.normal(0, 0.05, (len(known), factors)), float(np.log(share / (1 - share)))
-    offs = np.searchsorted(row, np.arange(len(y) + 1))
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)]
     mb = vb = 0.0
     step = 0
@@ -146,12 +151,10 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: s
                 packed = [terms[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), b.column(1)], ["x", "y"])
 
-    rows: pd.DataFrame = training_rows(docs, labels, label, id_col=id_col, text_col=text_col, sample=sample).mapInArrow(scan, "x binary, y int").toPandas()
-    rows = rows.sort_values(["x", "y"], ignore_index=True)  # the order rows arrive in is not fixed
-    parts = [np.frombuffer(x, np.int32) for x in rows.x]
-    term = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    return fit(term, row, rows.y.to_numpy().astype(float), **options)
+    got = training_rows(docs, labels, label, id_col=id_col, text_col=text_col, sample=sample).mapInArrow(scan, "x binary, y int").toArrow()
+    texts, y = got.column("x").to_pylist(), got.column("y").to_numpy()
+    order = sorted(range(len(texts)), key=lambda i: (texts[i], y[i]))  # the order rows arrive in is not fixed
+    return fit([np.frombuffer(texts[i], np.int32) for i in order], y[order].astype(float), **options)
 
 
 def score_texts(docs: DataFrame, model: Machine, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

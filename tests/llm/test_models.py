@@ -57,7 +57,9 @@ def test_machine_learns_a_product():
         texts.append(" ".join(["vile"] * insult + ["clan"] * group + [f"w{rng.randint(0, 40)}" for _ in range(5)]))
         y.append(float(insult and group))
     col = pa.array(texts)
-    model = toxicity.fit(*toxicity.distinct_terms(*toxicity.hashed_terms(col)), np.array(y))  # rows and terms, distinct
+    terms, rows = toxicity.distinct_terms(*toxicity.hashed_terms(col))
+    ends = np.searchsorted(rows, np.arange(len(texts) + 1))
+    model = toxicity.fit([terms[a:z] for a, z in zip(ends[:-1], ends[1:])], np.array(y))
     s = model.score(pa.array(["vile w1", "clan w1", "vile clan w1", "", None]))
     assert s[2] > 0.9 and s[0] < 0.2 and s[1] < 0.2 and s[3] == s[4] < 0.5
 
