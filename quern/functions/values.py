@@ -27,6 +27,13 @@ def value(x: Operand) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def const(x: int | float | str | datetime | None) -> Column:
+    """A constant column; NaN is missing and a datetime is an instant."""
+    if isinstance(x, datetime):
+        return instant(x)
+    return F.lit(None if isinstance(x, float) and x != x else x)
+
+
 # -- missing values ---------------------------------------------------------
 
 

@@ -74,6 +74,8 @@ class Table:
     def where(self, predicate: Column) -> Table:
         return Table(self.df.where(predicate))
 
+    filter = where
+
     def count(self, predicate: Column | None = None) -> Table:
         """One row: the number of rows for which the predicate holds."""
         df = self.df if predicate is None else self.df.where(predicate)
@@ -102,6 +104,10 @@ class Table:
         log.info("%s\n%s", tag, self.sample(size))
         return self
 
+    def show_sample(self, size: int = 100) -> str:
+        """Some rows as text."""
+        return self.df.limit(size).toPandas().to_string(index=False)
+
     def sample(self, size: int = 50) -> list[Row]:
         return self.df.limit(size).collect()
 
@@ -188,11 +194,28 @@ class Table:
         if some:
             yield pa.array(some, arrow)
 
+    def groups(self, key: str, path: str) -> Table:
+        """Write one folder for each value of a key below ``path``, and read the table back from there.
+
+        A predicate on the key then reads the folders of the values it asks for.
+        """
+        spread = self.df.repartition(F.col(key), F.pmod(F.xxhash64(*self.columns), F.lit(16)))  # a common value has up to 16 files
+        spread.write.partitionBy(key).parquet(path)
+        return Table(self.df.sparkSession.read.schema(self.df.schema).parquet(path).select(*self.columns))
+
     def n_rows(self) -> int:
         return self.df.count()
 
+    def n_columns(self) -> int:
+        return len(self.columns)
+
     def render(self) -> str:
         """The plan as text."""
         from quern.plans.render import render
 
         return render(self.df)
+
+
+def concatenate(first: Table, *others: Table) -> Table:
+    """All rows of all tables, which must agree in names and types."""
+    return first.concat(*others)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quern.functions import aggregates as A
 from quern.functions import values as V
 from quern.operators.select import S
-from quern.operators.table import Table
+from quern.operators.table import Table, concatenate
 from quern.plans.render import count_operators
 
 
@@ -190,3 +190,14 @@ def test_reading_results(spark, caplog):
         assert t.tap("here", 2) is t
     assert "here" in caplog.text
     assert t.let(lambda x: x.count()).df.first()[0] == 25
+
+
+def test_groups_in_folders(spark, tmp_path):
+    t = table(spark, [("a", 1), ("b", 2), ("a", 3), (None, 4)], "k string, v int")
+    back = t.groups("k", str(tmp_path / "g"))
+    assert rows(back) == rows(t)
+    one = back.where(back["k"] == "a")
+    assert rows(one) == [("a", 1), ("a", 3)]
+    assert "PartitionFilters: [isnotnull(k" in one.render()
+    assert rows(concatenate(t, t)) == rows(t.concat(t))
+    assert "a" in t.show_sample(4) and t.n_columns() == 2
