@@ -11,7 +11,7 @@ piece and is left to the library.
 from __future__ import annotations
 
 import os
-from itertools import compress
+from itertools import compress, repeat
 from operator import add
 
 import numpy as np
@@ -30,6 +30,28 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def is_latin(text: str) -> bool:
+    """Whether all characters are of Latin-1."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def pieces_of(text: str) -> list[str]:
+    """The text cut at blanks; in lower case, where that is sure to change no token.
+
+    Latin-1 letters have one lower case each and compose with nothing there. A
+    special token is known by its case.
+    """
+    if "<|" not in text and is_latin(text):
+        text = text.lower()
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,16 +63,19 @@ class Encoder:
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = None
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.plain.model._resize_cache(0)  # it is asked for each word once
         names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
         self.ends_word = np.array([(n or "").endswith("</w>") for n in names])
 
     def _ask(self, pieces: list[str]) -> None:
-        heads = [p.rstrip(CLOSING) for p in pieces]
-        able = [h.isalpha() and (h.isascii() or max(h) < "\u0100") for h in heads]
+        heads = list(map(str.rstrip, pieces, repeat(CLOSING)))
+        able = list(map(str.isalpha, heads))
+        if not is_latin("".join(heads)):
+            able = [a and is_latin(h) for a, h in zip(able, heads)]
         # letters are one word to the vocabulary, and so is what closes them
         whole = list(compress(pieces, able))
         tails = [p[len(h) :] for p, h in zip(whole, compress(heads, able))]
-        heads = [h.lower() for h in compress(heads, able)]
+        heads = list(map(str.lower, compress(heads, able)))
         known = self.seen
         self._ask_each([p for p, a in zip(pieces, able) if not a] + [t for t in set(tails) if t not in known])
         self._ask_words([h for h in set(heads) if h not in known])
@@ -79,12 +104,12 @@ class Encoder:
             cut, size = [], 0
             while lo < len(texts) and size < BATCH:
                 t = texts[lo] or ""
-                cut.append(t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+                cut.append(pieces_of(t))
                 size += len(t)
                 lo += 1
-            if len(self.seen) > KEPT:
-                self.seen = {"": b""}
             new = set().union(*cut)
+            if len(self.seen) > KEPT:  # what this batch needs stays
+                self.seen = {"": b""} | {p: self.seen[p] for p in new.intersection(self.seen)}
             new.difference_update(self.seen)
             self._ask(list(new))
             known = self.seen.__getitem__
