@@ -1,10 +1,10 @@
 """Texts that hold passages of benchmark items, exact, edited or paraphrased.
 
-Word n-grams of the items are looked for in every whole text. Their frequency
-over all texts says which of an item's n-grams are rare; a text that has a rare
-one becomes a candidate for that item. Candidates are scored by Smith-Waterman
-alignment of words around the shared seeds: the score over that of a perfect
-copy.
+Word n-grams of the items are looked for in every whole text; a text that has
+any of an item's n-grams becomes a candidate for that item. None is left out as
+frequent: the copies looked for raise the frequency of what they keep. Candidates
+are scored by Smith-Waterman alignment of words around the shared seeds: the
+score over that of a perfect copy.
 
 Null texts count as empty, and so do null items. An item of fewer words than a
 seed is never found. Repeated rows give one result for each pair of ids; equal
@@ -48,24 +48,15 @@ def contaminated(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     n: int = 4,
-    rare: float = 0.75,
     threshold: float = 0.5,
 ) -> DataFrame:
-    """``doc_id, item_id, score, first_word, end_word`` of every pair that scores ``threshold`` or more.
-
-    ``rare``: the share of an item's n-grams, rarest first, that serve as seeds;
-    n-grams as frequent as the last of them serve too.
-    """
+    """``doc_id, item_id, score, first_word, end_word`` of every pair that scores ``threshold`` or more."""
     known = stage(item_words(items, item_id_col, item_text_col, n), "items")
     grams = known.select("item_id", F.posexplode("gram").alias("place", "gram"))
     longest = known.agg(F.max(F.size("words"))).first()[0] or 0
     regions = stage(seeds.find_regions(docs, id_col, text_col, n, seeds.filter_of_table(grams, "gram"), longest + longest // 4), "regions")
     hits = regions.select("rid", F.explode(F.arrays_zip("at", "gram")).alias("x")).select("rid", "x.at", "x.gram")
-    frequency = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("f"))
-    rated = stage(grams.join(frequency, "gram"), "rated")
-    limit = rated.groupBy("item_id").agg(F.expr(f"percentile_disc({rare}) within group (order by f)").alias("most"))
-    rarest = rated.join(limit, "item_id").where("f <= most").select("item_id", "place", "gram")
-    found = hits.join(rarest, "gram").groupBy("rid", "item_id").agg(F.collect_set(F.col("at") - F.col("place")).alias("diagonals"))
+    found = hits.join(grams, "gram").groupBy("rid", "item_id").agg(F.collect_set(F.col("at") - F.col("place")).alias("diagonals"))
     pairs = found.join(regions.select("rid", "doc_id", "start", F.col("words").alias("text_words")), "rid").join(known.select("item_id", "words").distinct(), "item_id")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,6 +56,23 @@ def test_decontamination_finds_copies_and_edits(spark):
     assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_decontamination_finds_heavy_edits_beside_an_exact_copy(spark):
+    rng = random.Random(4)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(40))) for i in range(8)]
+    rows, want = [], set()
+    for i, text in items:
+        w = text.split()
+        spaced = [f"z{j}" if j > 6 and j % 4 == 3 else x for j, x in enumerate(w)]
+        for copy in (w, spaced, *(edited(w, share, rng) for share in (0.2, 0.25, 0.3))):
+            d, copy = len(rows), split_words(" ".join(copy))
+            rows.append((d, " ".join(["before", *copy, "after"])))
+            if plain_score(w, copy) >= 40 and any(w[j : j + 4] == copy[a : a + 4] for j in range(37) for a in range(len(copy) - 3)):
+                want.add((d, i))
+    assert {(5 * i + k, i) for i in range(8) for k in (0, 1)} < want
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_decontamination_of_odd_tables(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog", "x"), (2, None, "x"), (3, "", None), (4, "two words", "y"), (5, "quick brown fox jumps over the lazy dog", "z")], "item_id long, text string, score string")
     got = sorted((r.doc_id, r.item_id, r.first_word, r.end_word) for r in decontaminate.contaminated(odd_docs, bench).collect())
