@@ -42,9 +42,20 @@ BASE_RULES = [
     Rule("access", r"AKIA[A-Z0-9]{12,}", base=True),
     Rule("hex", r"[0-9a-f]{32,}", base=True),
 ]
+#: A private key from BEGIN to END. Without END, to the end of what looks like its body: header fields, long base64
+#: or padded runs between spaces, line ends (escaped ones too), quotes or comment marks, and whole lines of any length.
+#: All loops are possessive, so long bodies need no stack.
+_END_OF_LINE = r"(?:\r?\n|(?:\\r)?\\n)"
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-{1,4}+[^-]++)*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_END_OF_LINE}[\x20\t]*+(?:Proc-Type|DEK-Info):[^\r\n\\]*+"
+    r"""|(?:[\s"'`,+#*>|]|\\[nrt])*+(?:[A-Za-z0-9+/=]{20,}+|[A-Za-z0-9+/]++=++(?![A-Za-z0-9]))"""
+    rf"""|(?:[\x20\t]*+{_END_OF_LINE})++[\x20\t]*+[A-Za-z0-9+/=]++(?=[\x20\t]*+(?:[\r\n"'`]|\\[rn]|\z)))*+)"""
+)
 RULES = [
     *BASE_RULES,
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", PEM, version=2),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),

@@ -64,6 +64,28 @@ def test_odd_documents_and_redaction(spark, odd_docs, no_docs, tmp_path):
     assert clean[2] == '[assign]" [assign]' and clean[3] is None
 
 
+def test_redaction_leaves_nothing_of_a_private_key(spark, tmp_path):
+    lines = ["MIIEow+/" + f"{i:02d}Zz" * 14 for i in range(40)] + ["Qk9EWQ=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B2C3D4E5F", ""]
+    body = "\n".join([begin, *lines])
+    cases = [
+        (f"a {body}\n{end} z", "a [pem] z"), ("\r\n".join(["a", begin, *fields, *lines, end, "z"]), "a\r\n[pem]\r\nz"), (f"a '{begin}" + "\\n".join(["", *lines, end]) + "' z", "a '[pem]' z"),
+        (" ".join(["a", begin, *lines, end, "z"]), "a [pem] z"), (f"{body}\n{end}\nb\n{body}\n{end}", "[pem]\nb\n[pem]"), (body, "[pem]"), (" ".join([begin, *lines, "z"]), "[pem] z"), (f"{body}\n\nplain words follow", "[pem]\n\nplain words follow"),
+        ("\n".join([begin, *fields, *lines, "and so on"]), "[pem]\nand so on"), (f"a '{begin}" + "\\n".join(["", *lines]) + "' z", "a '[pem]' z"), (f"{body}\n{body}\n{end}", "[pem]\n[pem]"),
+        (f"{begin}\nshort\nbody==\nthen a sentence", "[pem]\nthen a sentence"), (f"the line {begin} marks a key", "the line [pem] marks a key"), (f"{begin}\n" + (lines[0] + "\n") * 20_000 + f"{end} z", "[pem] z"), (f"{begin}\n" + (lines[0] + "\n") * 20_000, "[pem]\n"),
+        (f"{begin}\n" + "a-b " * 50_000, "[pem]\n" + "a-b " * 50_000),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in secrets.redact(secrets.scan_versions(docs, f"file://{tmp_path}/k")).collect()}
+    for i, (_, want) in enumerate(cases):
+        assert clean[i] == want, i
+    key = docs.where("doc_id = 0")
+    old = [secrets.Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----")]
+    assert secrets.scan_versions(key, f"file://{tmp_path}/v", rules=old).count() == 1
+    assert secrets.redact(secrets.scan_versions(key, f"file://{tmp_path}/v")).first().text == "a [pem] z"
+
+
 def test_no_python_on_the_main_path(spark, odd_docs, tmp_path):
     plan = secrets.scan_versions(odd_docs, f"file://{tmp_path}/p")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
