@@ -4,22 +4,24 @@ Largest inner product becomes least distance when every vector gets one more
 component, ``sqrt(R^2 - |x|^2)`` with R the largest norm, and a query 0. Vectors
 are projected to a few dimensions by a Gaussian (2-stable) matrix: the squared
 projected distance over the squared true one follows a chi-square law. So
-projected neighbours are verified in order of their projected distance, and the
-search stops when a chi-square test holds: were a true neighbour nearer than the
-k-th found still unseen, its projection would have shown by now with probability
-``confidence``.
+projected neighbours are verified in order of their projected distance, a few at
+a time, and the search stops when a chi-square test holds: a true neighbour
+nearer than the k-th found would have shown by now with probability
+``confidence``, which is thus the recall to expect or less.
 
 1. Equal vectors fall together; each distinct one keeps its k + 1 least ids,
    which is all that any answer can need of it.
 2. The top of a kd-tree over projections, fitted on a bounded sample, deals all
-   vectors into cells, and a large cell into blocks by hash. A block holds the
-   lower part of the tree: leaves in a row, each with its box.
+   vectors into cells, as many as the vectors need, and a cell that is still
+   large into blocks by hash. A block holds the lower part of the tree: leaves in
+   a row, each with its box.
 3. Each query is answered in its own cell first. Then the test, on the boxes of
-   the cells, says to which others it must go, with what it has to beat; there
-   the leaves are visited in order of projected distance, until the test holds.
+   the cells, says to which others it must go, with what it has to beat. In a
+   block the test first passes over leaves by their boxes, then over vectors.
 
-Queries travel in packs and blocks whole, so a pair of them is one matrix
-product a leaf; no candidate cap exists, and a test that never holds scans all.
+Queries travel in packs and blocks whole. No candidate cap exists; a test that
+never holds verifies all. Of equal scores the smaller id ranks first. Scores are
+sums in the order of the components, so they depend on the two vectors alone.
 
 Vectors that are null, zero, or hold null or non-finite components take no
 part, nor do vectors of another dimension than the commonest, nor null ids.
@@ -41,6 +43,16 @@ from quern.llm.scratch import stage
 
 LEAF = 256
 PACK = 1024
+#: Queries that are worked on at once in a block, and projected neighbours that are verified first; then twice as many each time.
+SLICE, FIRST = 256, 64
+#: Distances of queries from boxes that are held at once.
+BOXES = 1 << 22
+#: A product of all pairs is taken where one in so many has to be verified.
+DENSE = 16
+#: Cells that a query visits after its own, before the test says which others.
+NEAREST = 2
+#: The most cells of the tree, and sampled vectors a cell for fitting it. Projections of the sample take up to 200 MB on the driver.
+CELLS, FIT = 1 << 16, 16
 
 
 def chi_square_limit(m: int, confidence: float) -> float:
@@ -119,35 +131,83 @@ def leaf_order(p: np.ndarray) -> list[np.ndarray]:
 
 def box_distance2(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Least squared distance of each query from each box."""
-    gap = np.maximum(np.maximum(lo[None] - q[:, None], q[:, None] - hi[None]), 0)
-    return (gap * gap).sum(axis=2)
-
-
-def visit(proj: Projection, limit: float, q: np.ndarray, least: np.ndarray, k: int, ids: np.ndarray, x: np.ndarray, ends: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The best ``k`` of a block for each query that exceed or equal ``least``; missing ones have score -inf."""
-    far = box_distance2(proj.queries(q), lo, hi)
-    order = np.argsort(far, axis=1, kind="stable")
-    score, best = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
-    starts = np.concatenate(([0], ends[:-1]))
-    active = np.arange(len(q))
-    for r in range(order.shape[1]):
-        leaf = order[active, r]
-        reach = np.maximum(score[active, -1], least[active])
-        near = np.where(np.isneginf(reach), np.inf, proj.distance2(q[active], np.where(np.isneginf(reach), 0, reach)))
-        go = far[active, leaf] <= limit * near + 1e-12
-        active, leaf = active[go], leaf[go]
-        if not len(active):
-            break
-        for one in np.unique(leaf):
-            rows = active[leaf == one]
-            a, z = starts[one], ends[one]
-            s = np.concatenate((score[rows], q[rows] @ x[a:z].T), axis=1)
-            i = np.concatenate((best[rows], np.broadcast_to(ids[a:z], (len(rows), z - a))), axis=1)
+    out = np.zeros((len(q), len(lo)))
+    for d in range(q.shape[1]):
+        gap = np.maximum(np.maximum(lo[None, :, d] - q[:, None, d], q[:, None, d] - hi[None, :, d]), 0)
+        out += gap * gap
+    return out
+
+
+def scores(q: np.ndarray, x: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Inner products of pairs, each summed in the order of the components."""
+    out = np.zeros(len(rows))
+    for d in range(q.shape[1]):
+        out += q[rows, d] * x[at, d]
+    return out
+
+
+def visit(proj: Projection, limit: float, q: np.ndarray, least: np.ndarray, k: int, ids: np.ndarray, x: np.ndarray, p: np.ndarray, ends: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The best ``k`` found in a block for each query that reach ``least`` (missing ones have score -inf), and the pairs verified.
+
+    ``p``: projections of the vectors ``x``. Rows without a bound (``least`` -inf) get one from their first k neighbours.
+    """
+    parts = [_visit(proj, limit, q[a : a + SLICE], least[a : a + SLICE], k, ids, x, p, ends, lo, hi) for a in range(0, len(q), SLICE)]
+    return np.concatenate([r[0] for r in parts]), np.concatenate([r[1] for r in parts]), sum(r[2] for r in parts)
+
+
+def _visit(proj, limit, q, least, k, ids, x, p, ends, lo, hi):
+    nq, qp = len(q), proj.queries(q)
+    score, best = np.full((nq, k), -np.inf), np.full((nq, k), np.iinfo(np.int64).max)
+
+    def reach(rows: np.ndarray) -> np.ndarray:
+        """The largest squared projected distance at which the test lets a vector through."""
+        bound = np.maximum(score[rows, -1], least[rows])
+        open_ = np.isneginf(bound)
+        return np.where(open_, np.inf, limit * proj.distance2(q[rows], np.where(open_, 0, bound)) + 1e-9)
+
+    every, dense = np.arange(nq), None
+    go = box_distance2(qp, lo, hi) <= reach(every)[:, None]
+    far = np.full((nq, len(x)), np.inf, np.float32)
+    for leaf in np.flatnonzero(go.any(axis=0)):
+        a, z, rows = (ends[leaf - 1] if leaf else 0), ends[leaf], np.flatnonzero(go[:, leaf])
+        far[rows, a:z] = (qp[rows] ** 2).sum(axis=1)[:, None] + (p[a:z] ** 2).sum(axis=1)[None] - 2 * (qp[rows] @ p[a:z].T)
+    width = (far <= reach(every)[:, None]).sum(axis=1)
+    if DENSE * width.sum() > far.size:  # one product for all pairs is cheaper than many for some
+        dense = q @ x.T
+    w = max(1, int(width.max(initial=0)))
+    if 2 * w < far.shape[1]:
+        order = np.argpartition(far, w - 1, axis=1)[:, :w]
+        order = np.take_along_axis(order, np.argsort(np.take_along_axis(far, order, 1), axis=1), 1)
+    else:
+        order = np.argsort(far, axis=1)[:, :w]
+    done, active, verified, chunk = 0, np.flatnonzero(width), 0, max(FIRST, k)
+    while len(active):
+        some = order[active, done : done + chunk]
+        ok = np.take_along_axis(far[active], some, 1) <= reach(active)[:, None]
+        row, col = np.nonzero(ok)
+        verified += len(row)
+        s = np.full(some.shape, -np.inf)
+        s[row, col] = dense[active[row], some[row, col]] if dense is not None else np.einsum("ij,ij->i", q[active[row]], x[some[row, col]])
+        s[s < np.maximum(score[active, -1], least[active])[:, None]] = -np.inf
+        better = np.flatnonzero((s > -np.inf).any(axis=1))
+        if len(better):
+            s, i = s[better], ids[some[better]]
+            if s.shape[1] > 2 * k:  # room for ties, which ids decide
+                cut = np.maximum(-np.partition(-s, k - 1, axis=1)[:, k - 1 : k], -1e300)
+                n = int((s >= cut).sum(axis=1).max())
+                keep = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < s.shape[1] else np.broadcast_to(np.arange(n), s.shape)
+                s, i = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
+            i = np.where(np.isneginf(s), np.iinfo(np.int64).max, i)
+            s, i = np.concatenate((score[active[better]], s), axis=1), np.concatenate((best[active[better]], i), axis=1)
             top = np.lexsort((i, -s), axis=1)[:, :k]
-            score[rows], best[rows] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
-    short = score < least[:, None]
-    score[short], best[short] = -np.inf, np.iinfo(np.int64).max
-    return score, best
+            score[active[better]], best[active[better]] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
+        done, chunk = done + some.shape[1], 2 * chunk
+        active = active[width[active] > done]
+        if len(active):
+            active = active[far[active, order[active, done]] <= reach(active)]
+    score[score < least[:, None]] = -np.inf
+    best[np.isneginf(score)] = np.iinfo(np.int64).max
+    return score, best, verified
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
@@ -163,8 +223,8 @@ def nearest(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     k: int = 20,
-    m: int = 8,
-    confidence: float = 0.99,
+    m: int = 24,
+    confidence: float = 0.95,
     block: int = 8192,
     sample: int = 20_000,
     seed: int = 1,
@@ -172,8 +232,9 @@ def nearest(
     """``query_id, rank, vec_id, score``: the ``k`` largest inner products found for each query row.
 
     ``is_query``: a condition on the columns of ``vectors``. ``m``: dimensions of
-    the projection (even). ``sample``: vectors on which the top of the tree is
-    fitted; every vector is indexed.
+    the projection (even). ``block``: vectors that one task holds. ``sample``:
+    vectors on which the top of the tree is fitted, or FIT for each of its cells
+    where that is more; every vector is indexed.
     """
     spark = vectors.sparkSession
     v = F.col("v")
@@ -194,12 +255,20 @@ def nearest(
     classes = rows.select("id", "v").withColumn("r", rank).where(F.col("r") <= top)
     classes = stage(classes.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")).select(F.col("ids")[0].alias("c"), "v", "ids"), "classes")
     n = classes.count()
-    drawn = classes.orderBy(F.xxhash64("c"), "c").limit(sample).select("v").toPandas()
-    drawn = np.array(drawn["v"].tolist(), float).reshape(-1, dim)
     depth = 0
-    while n > block * 2**depth and len(drawn) >= 32 * 2**depth:
+    while n > block * 2**depth and 2**depth < CELLS:
         depth += 1
-    tree = spark.sparkContext.broadcast(grow(proj.points(drawn), depth))  # bounded by the sample
+    share = min(1.0, max(sample, FIT * 2**depth) / max(n, 1))
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = proj.points(_matrix(b.column(1), dim)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in p], pa.binary())], ["c", "p"])
+
+    drawn = classes.where(F.pmod(F.xxhash64("c"), F.lit(1 << 30)) < int(share * (1 << 30))).select("c", "v") if depth else classes.where("false").select("c", "v")
+    drawn = drawn.mapInArrow(project, "c long, p binary").toArrow().sort_by("c").column("p")
+    drawn = np.frombuffer(b"".join(drawn.to_pylist()), np.float32).reshape(-1, m).astype(float)
+    tree = spark.sparkContext.broadcast(grow(drawn, depth))  # at most CELLS cells
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -218,11 +287,11 @@ def nearest(
             leaves = leaf_order(p)
             order = np.concatenate(leaves)
             boxes = [np.array([f(p[own], axis=0) for own in leaves]) for f in (np.min, np.max)]
-            packed = [ids[order], x[order], np.cumsum([len(own) for own in leaves]), *boxes]
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]]), *(pa.array([a.tobytes()], pa.binary()) for a in packed)], ["cell", "ids", "x", "ends", "lo", "hi"])
+            packed = [ids[order], x[order], p[order], np.cumsum([len(own) for own in leaves]), *boxes]
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]]), *(pa.array([a.tobytes()], pa.binary()) for a in packed)], ["cell", "ids", "x", "p", "ends", "lo", "hi"])
 
     groups = dealt.select("cell", "sub", "c", "v")
-    blocks = stage(groups.repartition("cell", "sub").sortWithinPartitions("cell", "sub", "c").mapInArrow(build, "cell long, ids binary, x binary, ends binary, lo binary, hi binary"), "blocks")
+    blocks = stage(groups.repartition("cell", "sub").sortWithinPartitions("cell", "sub", "c").mapInArrow(build, "cell long, ids binary, x binary, p binary, ends binary, lo binary, hi binary"), "blocks")
 
     asked = stage(rows.where("asks").select("id", "v").join(classes.select("v", "c"), "v").select(F.col("id").alias("query_id"), "c").distinct(), "asked")
     queries = groups.join(asked.select("c").distinct(), "c", "left_semi").select("cell", "sub", "c", "v")
@@ -237,21 +306,23 @@ def nearest(
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for cell, q, qx, least, ids, x, ends, lo, hi in zip(*(c.to_pylist() for c in b.columns)):
+            for cell, q, qx, least, ids, x, p, ends, lo, hi in (tuple(c[r].as_py() for c in b.columns) for r in range(b.num_rows)):
                 q, qx = np.frombuffer(q, np.int64), np.frombuffer(qx).reshape(-1, dim)
-                block_args = np.frombuffer(ids, np.int64), np.frombuffer(x).reshape(-1, dim), np.frombuffer(ends, np.int64), np.frombuffer(lo).reshape(-1, m), np.frombuffer(hi).reshape(-1, m)
-                score, best = visit(proj, limit, qx, np.frombuffer(least), top, *block_args)
-                size = (score > -np.inf).sum(axis=1)
-                offs = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
+                block_args = np.frombuffer(ids, np.int64), np.frombuffer(x).reshape(-1, dim), np.frombuffer(p).reshape(-1, m), np.frombuffer(ends, np.int64), np.frombuffer(lo).reshape(-1, m), np.frombuffer(hi).reshape(-1, m)
+                score, best, _ = visit(proj, limit, qx, np.frombuffer(least), top, *block_args)
                 has = score > -np.inf
-                found = pa.StructArray.from_arrays([pa.array(-score[has]), pa.array(best[has])], ["worse", "c"])
+                offs = pa.array(np.concatenate(([0], np.cumsum(has.sum(axis=1)))).astype(np.int32))
+                by_id = np.argsort(block_args[0])
+                at = by_id[np.searchsorted(block_args[0], best[has], sorter=by_id)]
+                found = pa.StructArray.from_arrays([pa.array(-scores(qx, block_args[1], np.nonzero(has)[0], at)), pa.array(best[has])], ["worse", "c"])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), cell)), pa.array(q), pa.array([r.tobytes() for r in qx], pa.binary()), pa.ListArray.from_arrays(offs, found)], ["cell", "q", "qx", "found"])
 
     got = "cell long, q long, qx binary, found array<struct<worse:double,c:long>>"
-    columns = ["cell", "q", "qx", "least", "ids", "x", "ends", "lo", "hi"]
+    columns = ["cell", "q", "qx", "least", "ids", "x", "p", "ends", "lo", "hi"]
     home = packs.join(blocks, "cell").select(columns).mapInArrow(seek, got)
     merged = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, top).alias("found")
-    home = stage(home.groupBy("cell", "q").agg(F.first("qx").alias("qx"), merged), "home")
+    home = home.groupBy("cell", "q").agg(F.first("qx").alias("qx"), merged)
+    home = stage(home.select("q", "qx", F.array("cell").alias("been"), "found"), "home")
 
     def corner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -263,24 +334,41 @@ def nearest(
     edges = edges.groupBy("cell").agg(*(F.array(*(f(F.col(c)[i]) for i in range(m))).alias(c) for c, f in (("lo", F.min), ("hi", F.max)))).orderBy("cell").collect()
     boxes = np.array([r["cell"] for r in edges]), np.array([r["lo"] for r in edges]).reshape(-1, m), np.array([r["hi"] for r in edges]).reshape(-1, m)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, lo, hi = boxes
-        for batch in batches:
-            for at in range(0, batch.num_rows, PACK):
-                b = batch.slice(at, PACK)
-                own, q = b.column(0).to_numpy(), b.column(1).to_numpy()
-                qx = np.frombuffer(b"".join(b.column(2).to_pylist())).reshape(-1, dim)
-                last = [-f[top - 1]["worse"] if len(f) >= top else -np.inf for f in b.column(3).to_pylist()]
-                least = np.array(last, float)
-                near = np.where(np.isneginf(least), np.inf, proj.distance2(qx, np.where(np.isneginf(least), 0, least)))
-                go = (box_distance2(proj.queries(qx), lo, hi) <= limit * near[:, None] + 1e-12) & (cells[None] != own[:, None])
-                for c in np.flatnonzero(go.any(axis=0)):
-                    r = go[:, c]
-                    yield pa.RecordBatch.from_arrays([pa.array([cells[c]]), *(pa.array([a[r].tobytes()], pa.binary()) for a in (q, qx, least))], ["cell", "q", "qx", "least"])
-
-    away = home.sortWithinPartitions("cell").mapInArrow(send, "cell long, q binary, qx binary, least binary")
-    away = away.join(blocks, "cell").select(columns).mapInArrow(seek, got)
-    found = home.select("q", "found").union(away.select("q", "found").where(F.size("found") > 0)).groupBy("q").agg(merged)
+    def go_on(been: DataFrame, most: int) -> DataFrame:
+        """Every query in up to ``most`` cells more, those whose boxes lie nearest (0: all that the test allows)."""
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cells, lo, hi = boxes
+            for batch in batches:
+                for at in range(0, batch.num_rows, PACK):
+                    b = batch.slice(at, PACK)
+                    q, qx = b.column(0).to_numpy(), np.frombuffer(b"".join(b.column(1).to_pylist())).reshape(-1, dim)
+                    least = np.array([-f[top - 1]["worse"] if len(f) >= top else -np.inf for f in b.column(3).to_pylist()], float)
+                    near = np.where(np.isneginf(least), np.inf, proj.distance2(qx, np.where(np.isneginf(least), 0, least)))
+                    qp, own, go = proj.queries(qx), b.column(2).to_pylist(), np.zeros((len(q), len(cells)), bool)
+                    rows = max(1, BOXES // len(cells))
+                    for a in range(0, len(q), rows):
+                        far = box_distance2(qp[a : a + rows], lo, hi)
+                        for r, x in enumerate(own[a : a + rows]):
+                            far[r, np.searchsorted(cells, x)] = np.inf
+                        go[a : a + rows] = (far <= limit * near[a : a + rows, None] + 1e-9) & (far < np.inf)
+                        if 0 < most < len(cells):
+                            go[a : a + rows] &= far <= np.partition(far, most - 1, axis=1)[:, most - 1 : most]
+                    for c in np.flatnonzero(go.any(axis=0)):
+                        r = go[:, c]
+                        yield pa.RecordBatch.from_arrays([pa.array([cells[c]]), *(pa.array([a[r].tobytes()], pa.binary()) for a in (q, qx, least))], ["cell", "q", "qx", "least"])
+
+        away = been.sortWithinPartitions("been", "q").mapInArrow(send, "cell long, q binary, qx binary, least binary")
+        return away.join(blocks, "cell").select(columns).mapInArrow(seek, got)
+
+    if len(boxes[0]) > 1 + NEAREST:  # a better bound first, from the cells around
+        more = go_on(home, NEAREST).select("q", "qx", F.array("cell").alias("been"), "found")
+        home = home.union(more).groupBy("q").agg(F.first("qx").alias("qx"), F.array_distinct(F.flatten(F.collect_list("been"))).alias("been"), merged)
+        home = stage(home, "around")
+    found = home.select("q", "found")
+    if len(boxes[0]) > 1:
+        away = go_on(home, 0).select("q", "found").where(F.size("found") > 0)
+        found = found.union(away).groupBy("q").agg(merged)
     wide = found.select("q", F.inline("found")).join(classes.select("c", "ids"), "c")
     per_id = F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("worse"), i.alias("id")))))
     best = wide.groupBy("q").agg(F.slice(F.array_sort(per_id), 1, top).alias("best"))
