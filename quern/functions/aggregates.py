@@ -38,8 +38,8 @@ def first(x: str | Column) -> Column:
 
 
 def key(x: str | Column) -> Column:
-    """The one value a group has in this column."""
-    return F.max(col(x))
+    """A column the rows are grouped by: the grouping column itself, which costs no aggregate."""
+    return col(x)
 
 
 def has_missing(x: str | Column) -> Column:

@@ -9,12 +9,15 @@ Predicates are boolean columns with three-valued logic, so ``&``, ``|`` and
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable
 from datetime import UTC, datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 Operand = Column | int | float | str | bool | datetime | None
 
 
@@ -51,12 +54,18 @@ def first_present(*xs: str | Column) -> Column:
     return F.coalesce(*(col(x) for x in xs))
 
 
+def tap(x: str | Column, tag: str) -> Column:
+    """Log an expression and go on with it."""
+    log.info("%s: %s", tag, x)
+    return col(x)
+
+
 # -- predicates ---------------------------------------------------------------
 
 
 def is_in(x: str | Column, values: Iterable) -> Column:
     """Membership; a missing value in the set matches nothing, and an empty set has no members."""
-    known = [v for v in values if v is not None]
+    known = [instant(v) if isinstance(v, datetime) else v for v in values if v is not None and v == v]
     x = col(x)
     return x.isin(known) if known else F.when(x.isNotNull(), F.lit(False))
 
@@ -133,8 +142,8 @@ def replace_match(x: str | Column, pattern: str, replacement: str) -> Column:
 
 
 def substring(x: str | Column, start: int, length: int) -> Column:
-    """From a start counted from 0; what lies outside the string is left out."""
-    return F.substring(col(x), start + 1, length)
+    """From a start counted from 0; what lies outside the string is left out, also before its start."""
+    return F.substring(col(x), max(start, 0) + 1, max(0, length + min(start, 0)))
 
 
 def concatenate(a: str | Column, b: Operand) -> Column:

@@ -29,25 +29,26 @@ class Grouping:
     def _reduced(self, program: Select, keys: tuple[Column, ...]) -> Table:
         from quern.operators.table import Table
 
-        named = [c.alias(f"__k{i}") for i, c in enumerate(keys)]
-        if program.predicate is None:
-            df = self.table.df.groupBy(*named).agg(*program.columns)
-        else:
-            df = self.table.df.groupBy(*named).agg(*program.columns, program.predicate.alias("__keep")).where("__keep").drop("__keep")
-        return Table(df.drop(*(f"__k{i}" for i in range(len(keys)))))
+        df, n = self.table.df, len(keys)
+        extra = [] if program.predicate is None else [program.predicate.alias("__keep")]
+        df = df.groupBy(*keys).agg(*program.columns, *extra)
+        names = df.columns[n : n + len(program.columns)]  # the keys come first, maybe by the same names
+        df = df.toDF(*(f"__c{i}" for i in range(len(df.columns))))
+        df = df.where(f"__c{len(df.columns) - 1}") if extra else df
+        return Table(df.select(*(F.col(f"__c{n + i}").alias(c) for i, c in enumerate(names))))
 
     def reduce_total(self, *program: Column | Select) -> Table:
         """One row a group."""
         return self._reduced(as_select(program), self.keys)
 
     def reduce_partial(self, *program: Column | Select) -> Table:
-        """One row for each group in each partition.
+        """Rows that a total by the same keys reduces to what :meth:`reduce_total` gives.
 
-        Rows are tagged with their partition before anything moves. A total over
-        the result gives what :meth:`reduce_total` gives, which aggregates in two
-        steps by itself.
+        Spark reduces by group in each partition before it deals the rest by key,
+        so what comes out is whole already, at the cost of one exchange of partial
+        rows; a total by these keys afterwards finds the rows in place and adds none.
         """
-        return self._reduced(as_select(program), (F.spark_partition_id(), *self.keys))
+        return self._reduced(as_select(program), self.keys)
 
     def count(self, *program: Column | Select) -> Table:
         """One row: the number of groups for which the predicate of the program holds."""
@@ -55,7 +56,7 @@ class Grouping:
 
         s = as_select(program)
         if s.predicate is None:
-            groups = self.table.df.select(*(k.alias(f"__k{i}") for i, k in enumerate(self.keys))).distinct()
+            groups = self.table.df.select(*(k.alias(f"__c{i}") for i, k in enumerate(self.keys))).distinct()
         else:
             groups = self._reduced(Select((F.lit(1).alias("__one"),), s.predicate), self.keys).df
         return Table(groups.agg(F.count(F.lit(1)).alias("count")))

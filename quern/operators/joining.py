@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.select import S, Select
@@ -14,6 +14,11 @@ if TYPE_CHECKING:
     from quern.operators.table import Table
 
 
+def _bytes(df: DataFrame) -> int:
+    """What the optimizer takes for the size of a result."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 class Side:
     """One table of a join, by whose names a program refers to columns."""
 
@@ -39,6 +44,9 @@ class Join:
     ``against`` (from 0). Key types must agree.
     """
 
+    #: Bytes up to which a side that was called small is broadcast, by the size its plan is estimated at.
+    SMALL = 64 << 20
+
     def __init__(self, table: Table, key: str, more: tuple = ()):
         self.table, self.key, self.more = table, key, more
 
@@ -64,8 +72,9 @@ class Join:
     def select(self, program: Callable[..., Select]) -> Table:
         """``program`` gets a :class:`Side` for each table; its predicate filters joined rows.
 
-        ``small`` on a side asks for a broadcast and is for tables of a known
-        bound; elsewhere sizes decide while the query runs.
+        ``small`` on a side asks for a broadcast. It is heeded only where the plan
+        of that side is estimated at no more than ``SMALL`` bytes; elsewhere sizes
+        decide while the query runs.
         """
         from quern.operators.table import Table
 
@@ -74,7 +83,7 @@ class Join:
         sides = [Side(f"t{i}", t.columns) for i, t in enumerate(tables)]
         df = self.table.df.alias("t0")
         for i, (how, table, key, against, small) in enumerate(self.more, start=1):
-            other = F.broadcast(table.df) if small else table.df
+            other = F.broadcast(table.df) if small and _bytes(table.df) <= self.SMALL else table.df
             df = df.join(other.alias(f"t{i}"), sides[against][keys[against]] == sides[i][key], how)
         s = program(*sides)
         df = df if s.predicate is None else df.where(s.predicate)

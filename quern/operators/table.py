@@ -10,6 +10,7 @@ import logging
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,10 +67,18 @@ class Table:
     # -- rows ---------------------------------------------------------------------
 
     def query(self, *columns: Column | str | Select) -> Table:
-        """Filter, then project."""
+        """Filter, then project. A program of constants alone, or of another table's columns, is refused."""
         s = as_select(columns)
-        df = self.df if s.predicate is None else self.df.where(s.predicate)
-        return Table(df.select(*s.columns))
+        try:
+            df = self.df if s.predicate is None else self.df.where(s.predicate)
+            out = df.select(*s.columns)
+        except AnalysisException as e:
+            if (e.getCondition() or "").startswith("MISSING_ATTRIBUTES"):
+                raise ValueError("a program must keep to the columns of one table") from e
+            raise
+        if s.predicate is None and out._jdf.queryExecution().analyzed().references().isEmpty():
+            raise ValueError("a program must use a column of its table")
+        return Table(out)
 
     def where(self, predicate: Column) -> Table:
         return Table(self.df.where(predicate))
@@ -120,8 +129,8 @@ class Table:
         return Table(df if s.predicate is None else df.where(s.predicate))
 
     def partial_reduce(self, *aggregates: Column | Select) -> Table:
-        """One row for each partition that has rows."""
-        return self.group_by().reduce_partial(*aggregates)
+        """A row that a further reduction takes to what :meth:`reduce` gives; see :meth:`Grouping.reduce_partial`."""
+        return self.reduce(*aggregates)
 
     def group_by(self, *keys: Column | str) -> Grouping:
         return Grouping(self, tuple(F.col(k) if isinstance(k, str) else k for k in keys))
@@ -137,28 +146,28 @@ class Table:
 
     # -- top k ------------------------------------------------------------------------
 
-    def top_k(self, column: str, k: int, *, ascending: bool = True, approximate: bool = False, accuracy: int = 10_000) -> Table:
+    def top_k(self, column: str, k: int, *, ascending: bool = True, approximate: bool = False, accuracy: int = 10_000, coverage: float = 1.0) -> Table:
         """The rows with the ``k`` smallest (largest) values, ties with the last of them too, in no order.
 
-        Missing values are never among them. The cut-off is one value: the k-th
-        of the column, or with ``approximate`` a quantile from a sketch, which
-        may let some more rows through.
+        Missing values are never among them. The cut-off is one value, a scalar
+        subquery that filters the scan: the k-th of the column, or with
+        ``approximate`` the quantile at k of n rows from a sketch of the given
+        ``accuracy``, which lets some more rows through. There ``coverage`` is
+        the share of rows the sketch sees; its error then also is that of the
+        sample, and the result may hold fewer than ``k`` rows.
         """
         c = F.col(f"`{column}`")
         some = self.df.where(c.isNotNull())
         if approximate:
-            n = F.count(F.lit(1))
-            share = F.least(F.lit(1.0), (F.lit(float(k)) / F.greatest(n, F.lit(1)) + F.lit(1.0 / accuracy)))
-            counted = some.agg(n.alias("n"), F.percentile_approx(c, [i / accuracy for i in range(accuracy + 1)], accuracy).alias("q"), share.alias("share"))
-            at = F.ceil(F.col("share") * accuracy).cast("int")
-            at = at if ascending else F.lit(accuracy) - at
-            cut = counted.select(F.get("q", F.greatest(at, F.lit(0))).alias("__cut"))
+            seen = some if coverage >= 1 else some.sample(coverage, seed=42)
+            n = seen.count()  # a quantile must be a constant
+            share = min(1.0, k * (coverage if coverage < 1 else 1.0) / max(n, 1) + 1 / accuracy)
+            cut = seen.agg(F.percentile_approx(c, share if ascending else 1 - share, accuracy).alias("__cut"))
         else:
             order = F.col("__v").asc() if ascending else F.col("__v").desc()
             best = some.select(c.alias("__v")).orderBy(order).limit(k)
             cut = best.agg((F.max if ascending else F.min)("__v").alias("__cut"))
-        near = c <= F.col("__cut") if ascending else c >= F.col("__cut")
-        return Table(some.join(F.broadcast(cut), near).select(*(some[f"`{x}`"] for x in self.columns)))  # one row is broadcast
+        return Table(some.where(c <= cut.scalar() if ascending else c >= cut.scalar()))
 
     def rank(self, column: str, *, by: tuple[str, ...] = (), ascending: bool = True, name: str = "rank") -> Table:
         """Add the rank of a column within groups."""
@@ -180,19 +189,27 @@ class Table:
         """All rows, one partition at a time."""
         return self.df.toLocalIterator(prefetchPartitions=True)
 
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """All rows as Arrow batches, one partition at a time."""
+        names = self.columns
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema) as out:
+                    out.write_batch(b)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["b"])
+
+        for row in self.df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(packed, "b binary").toLocalIterator(prefetchPartitions=True):
+            with pa.ipc.open_stream(bytes(row[0])) as stream:
+                for b in stream:
+                    yield b.rename_columns(names)
+
     def column_arrays(self, size: int = 10_000) -> Iterator[pa.Array]:
-        """A table of one column as arrays."""
+        """A table of one column as arrays of at most ``size`` values."""
         if len(self.columns) != 1:
             raise ValueError("only a table of one column can be read as arrays")
-        kind, some = self.df.schema.fields[0], []
-        arrow = {T.IntegerType: pa.int32(), T.LongType: pa.int64(), T.DoubleType: pa.float64(), T.StringType: pa.string(), T.TimestampType: pa.timestamp("us", "UTC")}.get(type(kind.dataType))
-        for r in self.rows():
-            some.append(r[0])
-            if len(some) == size:
-                yield pa.array(some, arrow)
-                some = []
-        if some:
-            yield pa.array(some, arrow)
+        return (b.column(0).slice(lo, size) for b in self.batches() for lo in range(0, b.num_rows, size))
 
     def groups(self, key: str, path: str) -> Table:
         """Write one folder for each value of a key below ``path``, and read the table back from there.
@@ -209,11 +226,11 @@ class Table:
     def n_columns(self) -> int:
         return len(self.columns)
 
-    def render(self) -> str:
-        """The plan as text."""
+    def render(self, mode: str = "formatted") -> str:
+        """The plan as text: a mode of Spark's explain, or ``query`` for the tree of operators as written."""
         from quern.plans.render import render
 
-        return render(self.df)
+        return render(self.df, mode)
 
 
 def concatenate(first: Table, *others: Table) -> Table:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,9 +52,12 @@ def r2(c: Column) -> Column:
 
 
 def folder(spark: SparkSession) -> str:
-    """A fresh path in the session's shared folder, or in its warehouse."""
+    """A fresh path in the session's shared folder, or in its warehouse, removed when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/quern-csv-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/quern-csv-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
 
 
 # -- filters and projections ----------------------------------------------------
@@ -86,14 +90,14 @@ def filter_3vl_and_or_not(spark, sf):
 
 @query(
     """with t as (select event_id, nullif(user_id, 8) as u, nullif(value, 6.55) as v, nullif(event_type, 'error') as e, nullif(ts, (select min(ts) from events)) as i from events)
-    select event_id, cast(u is null as int) as mu, cast(v is null as int) as mv, cast(e is null as int) as me, cast(i is null as int) as mi from t"""
+    select event_id, cast(u is null as int) as mu, cast(v is null as int) as mv, cast(e is null as int) as me, cast(i is null as int) as mi, cast(cast(u as int) is null as int) as mn from t"""
 )
 def is_missing(spark, sf):
     t = scan(spark, sf, "events")
     least = t.df.agg(F.min("ts").alias("least"))
     df = t.df.join(F.broadcast(least))  # one row
     t = Table(df).query("event_id", F.nullif("user_id", F.lit(8)).alias("u"), F.nullif("value", F.lit(6.55)).alias("v"), F.nullif("event_type", F.lit("error")).alias("e"), F.nullif("ts", F.col("least")).alias("i"))
-    return t.query("event_id", *(V.flag(V.is_missing(c, double=c == "v")).alias("m" + c) for c in "uvei")).df
+    return t.query("event_id", *(V.flag(V.is_missing(c, double=c == "v")).alias("m" + c) for c in "uvei"), V.flag(V.is_missing(V.to_int("u"))).alias("mn")).df
 
 
 @query(
@@ -159,6 +163,114 @@ def comparisons(spark, sf):
     return t.query("l_orderkey", "l_linenumber", *(V.flag(p).alias(n) for n, p in ps.items())).df
 
 
+# the matrix of types: for each, two columns with missing values and a constant, in SQL and here
+_TYPES = {
+    "int": ("case when l_linenumber = 5 then null else l_linenumber end", "case when l_tax > 0.07 then null else cast(floor(l_quantity / 8) as int) end", "3"),
+    "long": ("nullif(l_suppkey, 3)", "case when l_tax > 0.07 then null else l_partkey // 20 end", "4"),
+    "double": ("nullif(l_discount, 0.01)", "case when l_linenumber = 5 then null else l_tax end", "0.05"),
+    "string": ("nullif(l_returnflag, 'R')", "case when l_linenumber = 5 then null else l_linestatus end", "'N'"),
+    "instant": ("case when l_linenumber = 5 then null else l_shipdate end", "case when l_tax > 0.07 then null else date_trunc('month', l_shipdate) end", "timestamp '1997-01-01'"),
+}
+_SIGNS = {"eq": "=", "ne": "<>", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}
+
+
+def _typed(spark, sf, kind) -> tuple[Table, list]:
+    """The table of ``_TYPES`` of one kind, and its constant in every form the language takes."""
+    t = scan(spark, sf, "lineitem", clean=False)
+    odd, taxed = t["l_linenumber"] == 5, t["l_tax"] > 0.07
+    a, b, cs = {
+        "int": (F.when(~odd, t["l_linenumber"]), F.when(~taxed, F.floor(t["l_quantity"] / 8).cast("int")), [3]),
+        "long": (F.nullif(t["l_suppkey"], F.lit(3)), F.when(~taxed, F.floor(t["l_partkey"] / 20)), [4]),
+        "double": (F.nullif(t["l_discount"], F.lit(0.01)), F.when(~odd, t["l_tax"]), [0.05]),
+        "string": (F.nullif(t["l_returnflag"], F.lit("R")), F.when(~odd, t["l_linestatus"]), ["N"]),
+        "instant": (F.when(~odd, t["l_shipdate"]), F.when(~taxed, V.round_to("l_shipdate", "month")), [V.instant("1997-01-01T00:00:00Z"), V.instant(852076800000)]),
+    }[kind]
+    return t.query("l_orderkey", "l_linenumber", "l_partkey", a.alias("a"), b.alias("b")), cs
+
+
+def _typed_sql(kind: str) -> str:
+    a, b, _ = _TYPES[kind]
+    return f"with t as (select l_orderkey, l_linenumber, l_partkey, {a} as a, {b} as b from lineitem)"
+
+
+def _compare(kind):
+    def run(spark, sf):
+        t, cs = _typed(spark, sf, kind)
+        a, b = t["a"], t["b"]
+        signs = {"eq": Column.__eq__, "ne": Column.__ne__, "lt": Column.__lt__, "le": Column.__le__, "gt": Column.__gt__, "ge": Column.__ge__}
+        out = [V.flag(f(a, x)).alias(f"{n}_{k}") for n, f in signs.items() for k, x in (("col", b), *((f"const{i}", c) for i, c in enumerate(cs)))]
+        return t.query("l_orderkey", "l_linenumber", *out).df
+
+    run.__name__ = f"compare_{kind}"
+    n = 2 if kind == "instant" else 1
+    out = [f"cast(a {s} {x} as int) as {name}_{k}" for name, s in _SIGNS.items() for k, x in (("col", "b"), *((f"const{i}", _TYPES[kind][2]) for i in range(n)))]
+    return query(f"{_typed_sql(kind)} select l_orderkey, l_linenumber, {', '.join(out)} from t")(run)
+
+
+def _choose(kind):
+    """Column and column, constant and column, column and constant, two constants."""
+    more = {"int": ("9", 9), "long": ("9", lambda: F.lit(9).cast("long")), "double": ("0.5", 0.5), "string": ("'z'", "z"), "instant": ("timestamp '2001-02-03'", lambda: V.instant("2001-02-03T00:00:00Z"))}[kind]
+
+    def run(spark, sf):
+        t, cs = _typed(spark, sf, kind)
+        c, d = cs[-1], more[1]() if callable(more[1]) else more[1]
+        c = F.lit(c).cast("long") if kind == "long" else c
+        p = F.when(t["l_partkey"] % 10 != 0, t["l_partkey"] % 10 > 4)
+        show = ntz if kind == "instant" else lambda x: x
+        forms = {"cc": (t["a"], t["b"]), "kc": (c, t["b"]), "ck": (t["a"], c), "kk": (c, d)}
+        return t.query("l_orderkey", "l_linenumber", *(show(V.choose(p, x, y)).alias(n) for n, (x, y) in forms.items())).df
+
+    run.__name__ = f"choose_{kind}"
+    c = _TYPES[kind][2]
+    forms = {"cc": ("a", "b"), "kc": (c, "b"), "ck": ("a", c), "kk": (c, more[0])}
+    cast = {"int": "int", "long": "bigint", "double": "double", "string": "varchar", "instant": "timestamp"}[kind]
+    cases = ", ".join(f"cast(case when l_partkey % 10 = 0 then null when l_partkey % 10 > 4 then {x} else {y} end as {cast}) as {n}" for n, (x, y) in forms.items())
+    return query(f"{_typed_sql(kind)} select l_orderkey, l_linenumber, {cases} from t")(run)
+
+
+def _aggregate(kind):
+    """All aggregates of a type; ``first`` of a value that is the same throughout its group."""
+
+    def run(spark, sf):
+        t, _ = _typed(spark, sf, kind)
+        show = ntz if kind == "instant" else lambda x: x
+        same = {"int": V.to_int("l_partkey"), "long": F.col("l_partkey"), "double": V.to_double("l_partkey"), "string": V.printf("l_partkey", "p%d"), "instant": V.from_epoch_millis("l_partkey")}[kind]
+        t = t.query(t.all().extend(same.alias("same")))
+        return t.group_by("l_partkey").reduce_total(
+            A.key("l_partkey").alias("l_partkey"), A.count("a").alias("n"), A.count_distinct("a").alias("d"), A.has_missing("a").alias("m"),
+            show(A.least("a")).alias("lo"), show(A.greatest("a")).alias("hi"), show(A.first("same")).alias("same"),
+        ).df
+
+    run.__name__ = f"aggregate_{kind}"
+    same = {"int": "cast(l_partkey as int)", "long": "l_partkey", "double": "cast(l_partkey as double)", "string": "'p' || l_partkey", "instant": "make_timestamp(l_partkey * 1000)"}[kind]
+    return query(f"{_typed_sql(kind)} select l_partkey, count(a) as n, count(distinct a) as d, max(cast(a is null as int)) as m, min(a) as lo, max(a) as hi, {same} as same from t group by l_partkey")(run)
+
+
+for _kind in _TYPES:
+    _compare(_kind)
+    _choose(_kind)
+    _aggregate(_kind)
+
+
+@query("select p_partkey, 5 as i, cast(6 as bigint) as l, 0.25::double as d, 'x' as s, timestamp '2020-01-02 03:04:05' as t, cast(null as double) as m from part")
+def constants(spark, sf):
+    cs = {"i": V.const(5), "l": V.const(6).cast("long"), "d": V.const(0.25), "s": V.const("x"), "t": ntz(V.const(datetime(2020, 1, 2, 3, 4, 5))), "m": V.const(float("nan")).cast("double")}
+    return scan(spark, sf, "part").query("p_partkey", *(c.alias(n) for n, c in cs.items())).df
+
+
+@query(
+    """select event_id, cast(user_id in (3, 8, 40) as int) as l, cast(cast(user_id as int) in (3, 8, 40) as int) as i, cast(value in (6.55, 8.5, 9.25) as int) as d, cast(event_type in ('click', 'error') as int) as s,
+    cast(date_trunc('day', ts) in (timestamp '2024-01-01', timestamp '2024-01-03') as int) as t, cast(case when nullif(event_type, 'click') is not null then false end as int) as none from events"""
+)
+def members(spark, sf):
+    t = scan(spark, sf, "events", clean=False)
+    flags = {
+        "l": V.is_in("user_id", {3, 8, 40}), "i": V.is_in(V.to_int("user_id"), {3, 8, 40, None}), "d": V.is_in("value", {6.55, 8.5, 9.25, float("nan")}), "s": V.is_in("event_type", {"click", "error"}),
+        "t": V.is_in(V.round_to("ts", "day"), {datetime(2024, 1, 1), datetime(2024, 1, 3)}), "none": V.is_in(F.nullif("event_type", F.lit("click")), ()),
+    }
+    return t.query("event_id", *(V.flag(p).alias(n) for n, p in flags.items())).df
+
+
 # -- strings ------------------------------------------------------------------------
 
 
@@ -173,9 +285,9 @@ def str_match_replace(spark, sf):
     return scan(spark, sf, "part").query("p_partkey", V.replace_match("p_type", "E.*|S.*", "x$1").alias("t")).df
 
 
-@query("select p_partkey, substring(p_name, 3, 4) as s, substring(p_brand, 7, 20) as b from part")
+@query("select p_partkey, substring(p_name, 3, 4) as s, substring(p_brand, 7, 20) as b, p_name[1:2] as before from part")
 def str_substring(spark, sf):
-    return scan(spark, sf, "part").query("p_partkey", V.substring("p_name", 2, 4).alias("s"), V.substring("p_brand", 6, 20).alias("b")).df
+    return scan(spark, sf, "part").query("p_partkey", V.substring("p_name", 2, 4).alias("s"), V.substring("p_brand", 6, 20).alias("b"), V.substring("p_name", -3, 5).alias("before")).df
 
 
 @query("select p_partkey, p_name || p_type as a, nullif(p_brand, 'Brand#2') || '!' as b from part")
@@ -389,13 +501,14 @@ def join_inner(spark, sf):
     return o.on("o_custkey").inner(c, "c_custkey").select(lambda o, c: S.extend(o["o_orderkey"], c["c_name"], o["o_totalprice"])).df
 
 
-_SIDES = "with o as (select o_orderkey, nullif(o_custkey, 899) as k from orders where o_custkey < 1000), c as (select nullif(c_custkey, 5) as k, c_name from customer where c_custkey % 3 <> 0)"
+# keys without a match and missing keys on both sides, by value: whole tables are joined
+_SIDES = "with o as (select o_orderkey, nullif(o_custkey, 7) + 100 as k from orders), c as (select nullif(c_custkey, 105) as k, c_name from customer)"
 
 
 def _sides(spark, sf):
     o, c = scan(spark, sf, "orders"), scan(spark, sf, "customer")
-    o = o.query(S.extend("o_orderkey", F.nullif("o_custkey", F.lit(899)).alias("k")).where(o["o_custkey"] < 1000))
-    return o, c.query(S.extend(F.nullif("c_custkey", F.lit(5)).alias("k"), "c_name").where(c["c_custkey"] % 3 != 0))
+    o = o.query("o_orderkey", (F.nullif("o_custkey", F.lit(7)) + 100).alias("k"))
+    return o, c.query(F.nullif("c_custkey", F.lit(105)).alias("k"), "c_name")
 
 
 def _pair(o, c):
@@ -435,14 +548,14 @@ def join_3way(spark, sf):
     return t.on("l_partkey").inner(p, "p_partkey").select(lambda t, p: S.extend(t["l_orderkey"], t["l_linenumber"], t["o_orderdate"], p["p_name"])).df
 
 
-_THREE = """with a as (select c_custkey as k, c_name as n from customer where c_custkey % 2 = 0), b as (select o_custkey as k, count(*) as m from orders where o_custkey % 3 = 0 group by 1),
+_THREE = """with a as (select c_custkey * 2 as k, c_name as n from customer), b as (select o_custkey * 3 as k, count(*) as m from orders group by 1),
     c as (select s_suppkey as k, s_name as s from supplier) select a.k as ak, b.k as bk, c.k as ck, m, s from a full join b on a.k = b.k left join c on """
 
 
 def _three(spark, sf, against):
     a, b, c = scan(spark, sf, "customer"), scan(spark, sf, "orders"), scan(spark, sf, "supplier")
-    a = a.query(S.extend(F.col("c_custkey").alias("k"), F.col("c_name").alias("n")).where(a["c_custkey"] % 2 == 0))
-    b = b.where(b["o_custkey"] % 3 == 0).group_by("o_custkey").reduce_total(A.key("o_custkey").alias("k"), F.count(F.lit(1)).alias("m"))
+    a = a.query((F.col("c_custkey") * 2).alias("k"), F.col("c_name").alias("n"))
+    b = b.query((F.col("o_custkey") * 3).alias("k")).group_by("k").reduce_total(A.key("k").alias("k"), F.count(F.lit(1)).alias("m"))
     c = c.query(F.col("s_suppkey").alias("k"), F.col("s_name").alias("s"))
     return a.on("k").outer(b, "k").left(c, "k", against=against).select(lambda a, b, c: S.extend(a["k"].alias("ak"), b["k"].alias("bk"), c["k"].alias("ck"), b["m"], c["s"])).df
 
@@ -463,6 +576,35 @@ def join_where(spark, sf):
     return o.on("o_custkey").inner(c, "c_custkey").select(lambda o, c: S.extend(o["o_orderkey"], c["c_name"]).where(c["c_acctbal"] > 5000).where(o["o_totalprice"] < c["c_acctbal"] * 10)).df
 
 
+@query("with o as (select o_orderkey, printf('Customer#%09d', o_custkey + 40) as k from orders) select o_orderkey, c_custkey from o join customer on k = c_name")
+def join_string_key(spark, sf):
+    o, c = scan(spark, sf, "orders"), scan(spark, sf, "customer")
+    o = o.query("o_orderkey", V.printf(o["o_custkey"] + 40, "Customer#%09d").alias("k"))
+    return o.on("k").inner(c, "c_name").select(lambda o, c: S.extend(o["o_orderkey"], c["c_custkey"])).df
+
+
+@query(
+    """with a as (select l_discount as k, count(*) as n from lineitem group by 1), b as (select nullif(l_tax, 0.03) as k, count(*) as m from lineitem group by 1)
+    select a.k as a, b.k as b, n, m from a full join b on a.k = b.k"""
+)
+def join_double_key(spark, sf):
+    t = scan(spark, sf, "lineitem", clean=False)
+    a = t.group_by("l_discount").reduce_total(A.key("l_discount").alias("k"), A.count("l_orderkey").alias("n"))
+    b = t.query(F.nullif("l_tax", F.lit(0.03)).alias("k")).group_by("k").reduce_total(A.key("k").alias("k"), F.count(F.lit(1)).alias("m"))
+    return a.on("k").outer(b, "k").select(lambda a, b: S.extend(a["k"].alias("a"), b["k"].alias("b"), a["n"], b["m"])).df
+
+
+@query(
+    """with a as (select l_shipdate as k, count(*) as n from lineitem group by 1), b as (select o_orderdate as k, count(*) as m from orders group by 1)
+    select a.k as a, b.k as b, n, m from a left join b on a.k = b.k"""
+)
+def join_instant_key(spark, sf):
+    a, b = scan(spark, sf, "lineitem", clean=False), scan(spark, sf, "orders", clean=False)
+    a = a.group_by("l_shipdate").reduce_total(A.key("l_shipdate").alias("k"), A.count("l_orderkey").alias("n"))
+    b = b.group_by("o_orderdate").reduce_total(A.key("o_orderdate").alias("k"), A.count("o_orderkey").alias("m"))
+    return a.on("k").left(b, "k").select(lambda a, b: S.extend(ntz(a["k"]).alias("a"), ntz(b["k"]).alias("b"), a["n"], b["m"])).df
+
+
 @query("select a.n_nationkey as a, b.n_nationkey as b from nation a join nation b on a.n_regionkey = b.n_regionkey")
 def self_join(spark, sf):
     n = scan(spark, sf, "nation")
@@ -523,16 +665,27 @@ def topk_approximate(spark, sf):
 # -- sources and sinks ---------------------------------------------------------------------
 
 
+def _odd_text(x: Column, case: Column) -> Column:
+    """Strings that a careless writer or reader of delimited text changes."""
+    forms = [F.concat(F.lit(" "), x, F.lit("  ")), F.concat(F.lit("a\n"), x), F.concat(x, F.lit("\r\nb")), F.concat(F.lit('a "'), x, F.lit('", b')), F.lit(""), F.lit("NA")]
+    out = F
+    for i, form in enumerate(forms):
+        out = out.when(case == i, form)
+    return out.otherwise(F.concat(F.lit("\t"), x))
+
+
 @query(
-    """select event_id, cast(nullif(user_id, 8) as int) as u, nullif(value, 6.55) as v, nullif(event_type, 'error') as e, date_trunc('millisecond', ts) as t, props from events"""
+    """select event_id, cast(nullif(user_id, 8) as int) as u, nullif(value, 6.55) as v, nullif(event_type, 'error') as e, date_trunc('millisecond', ts) as t, props,
+    case user_id % 7 when 0 then ' ' || event_type || '  ' when 1 then 'a' || chr(10) || event_type when 2 then event_type || chr(13) || chr(10) || 'b' when 3 then 'a "' || event_type || '", b' when 4 then '' when 5 then 'NA' else chr(9) || event_type end as s
+    from events"""
 )
 def csv_roundtrip(spark, sf):
     t = scan(spark, sf, "events", clean=False)
-    t = t.query("event_id", V.to_int(F.nullif("user_id", F.lit(8))).alias("u"), F.nullif("value", F.lit(6.55)).alias("v"), F.nullif("event_type", F.lit("error")).alias("e"), F.col("ts").alias("t"), "props")
+    t = t.query("event_id", V.to_int(F.nullif("user_id", F.lit(8))).alias("u"), F.nullif("value", F.lit(6.55)).alias("v"), F.nullif("event_type", F.lit("error")).alias("e"), F.col("ts").alias("t"), "props", _odd_text(t["event_type"], t["user_id"] % 7).alias("s"))
     path = folder(spark)
     csv.export_csv(t, path)
-    back = {"event_id": csv.long_field(0), "u": csv.int_field(1), "v": csv.double_field(2), "e": csv.str_field(3, "NA"), "t": csv.instant_field(4), "props": csv.str_field(5)}
-    out = csv.import_csv(spark, path, back, record_separator="\r\n").df
+    back = {"event_id": csv.long_field(0), "u": csv.int_field(1), "v": csv.double_field(2), "e": csv.str_field(3, "NA"), "t": csv.instant_field(4), "props": csv.str_field(5), "s": csv.str_field(6)}
+    out = csv.import_csv(spark, path, back, record_separator="\r\n", line_breaks=True).df
     return out.withColumn("t", ntz(F.col("t")))
 
 
@@ -547,7 +700,7 @@ def rows_roundtrip(spark, sf):
 
 
 @query(
-    """with o as (select l_suppkey as k, avg(l_extendedprice) as a, count(*) as n from lineitem group by 1), i as (select l_partkey as k, avg(l_quantity) as a, count(*) as n from lineitem where l_partkey < 500 group by 1)
+    """with o as (select l_suppkey as k, avg(l_extendedprice) as a, count(*) as n from lineitem group by 1), i as (select l_partkey as k, avg(l_quantity) as a, count(*) as n from lineitem group by 1)
     select coalesce(o.k, i.k) as k, round(o.a, 4) as avg_out, round(i.a, 4) as avg_in, o.n as n_out, i.n as n_in from o full join i on o.k = i.k"""
 )
 def pipeline_in_out_avg(spark, sf):
@@ -557,7 +710,7 @@ def pipeline_in_out_avg(spark, sf):
         p = t.group_by(key).reduce_partial(A.key(key).alias("k"), A.total(value).alias("s"), A.count(value).alias("n"))
         return p.group_by("k").reduce_total(A.key("k").alias("k"), V.divide(A.total("s"), A.total("n")).alias("a"), A.total("n").alias("n"))
 
-    out, into = average(t, "l_suppkey", "l_extendedprice"), average(t.where(t["l_partkey"] < 500), "l_partkey", "l_quantity")
+    out, into = average(t, "l_suppkey", "l_extendedprice"), average(t, "l_partkey", "l_quantity")
     return out.on("k").outer(into, "k").select(
         lambda o, i: S.extend(V.choose(V.is_missing(o["k"]), i["k"], o["k"]).alias("k"), F.round(o["a"], 4).alias("avg_out"), F.round(i["a"], 4).alias("avg_in"), o["n"].alias("n_out"), i["n"].alias("n_in"))
     ).df

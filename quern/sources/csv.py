@@ -7,14 +7,17 @@ for strings.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import values as V
 from quern.operators.table import Table
 
+#: Fixed values.
 ENCODINGS = {"utf8": "UTF-8", "ascii": "US-ASCII", "iso88591": "ISO-8859-1", "utf16": "UTF-16"}
 
 
@@ -70,33 +73,54 @@ def import_csv(
     header: bool = False,
     record_separator: str | None = None,
     encoding: str = "utf8",
+    strict: bool = False,
+    line_breaks: bool = False,
     max_lines: int | None = None,
 ) -> Table:
     """Files (gzip by their ending) as one table of the given fields.
 
     A dict names them; a list takes names from the header, or ``V0``, ``V1``, ...
-    A line with too few or too many fields is an error. ``max_lines`` counts the
-    header.
+    A line with too few or too many fields is an error. Bytes that the encoding
+    doesn't know become U+FFFD, or with ``strict`` an error (so does a U+FFFD).
+    ``line_breaks`` allows quoted fields to hold them; each file is then read by
+    one task, and ``record_separator`` keeps breaks of another kind as they are.
+    ``max_lines`` are the first of each file and count its header.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     reader = spark.read.option("sep", separator).option("mode", "FAILFAST").option("encoding", ENCODINGS.get(encoding, encoding)).option("quote", '"').option("escape", '"')
+    reader = reader.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("multiLine", line_breaks)
     if record_separator:
         reader = reader.option("lineSep", record_separator)
     names = reader.option("header", header).csv(paths[0]).columns  # one line of one file
-    raw = reader.option("header", header).option("enforceSchema", True).option("nullValue", "\0").option("emptyValue", "").schema(", ".join(f"`c{i}` string" for i in range(len(names)))).csv(paths)
-    if max_lines is not None:
-        raw = raw.limit(max(0, max_lines - bool(header)))
+    raw = reader.option("header", header).option("enforceSchema", True).option("nullValue", "\0").option("emptyValue", "").schema(", ".join(f"`c{i}` string" for i in range(len(names))))
+    if max_lines is None:
+        raw = raw.csv(paths)
+    else:
+        place = (F.col("_metadata.file_block_start"), F.monotonically_increasing_id())  # the order of lines in a file
+        heads = [raw.csv(f).orderBy(*place).limit(max(0, max_lines - bool(header))) for f in raw.csv(paths).inputFiles()]
+        raw = reduce(DataFrame.unionAll, heads)
+    if strict:
+        bad = F.raise_error(F.lit(f"bytes that are not {encoding}"))
+        raw = raw.select(*(F.when(F.contains(c, F.lit("\ufffd")), bad).otherwise(F.col(c)).alias(c) for c in raw.columns))
     if not isinstance(fields, dict):
         fields = {(names[f.index] if header else f"V{f.index}"): f for f in sorted(fields, key=lambda f: f.index)}
     return Table(raw.select(*(f.read(F.col(f"c{f.index}")).alias(name) for name, f in fields.items())))
 
 
 def export_csv(table: Table, path: str, *, separator: str = ",", record_separator: str = "\r\n", quote: str = '"', gzip: bool = True) -> list[str]:
-    """One file a partition, without header; missing values as ``NA``, missing doubles as ``NaN``."""
-    out = [
-        (F.coalesce(F.col(c).cast("string"), F.lit("NaN")) if t == "double" else V.to_iso(F.col(c)) if t == "timestamp" else F.col(c).cast("string")).alias(c)
-        for c, t in table.df.dtypes
-    ]
-    writer = table.df.select(*out).write.option("header", False).option("sep", separator).option("quote", quote).option("escape", quote).option("lineSep", record_separator).option("nullValue", "NA").option("emptyValue", "")
-    writer.option("compression", "gzip" if gzip else "none").csv(path)
+    """One file a partition, without header; missing values as ``NA``, missing doubles as ``NaN``.
+
+    Strings keep their blanks, and are quoted where they are empty or hold separators, quotes or line breaks.
+    """
+    special = f"[{re.escape(separator + quote)}\\r\\n]"
+
+    def field(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kind == "string":
+            quoted = F.concat(F.lit(quote), F.replace(c, F.lit(quote), F.lit(quote * 2)), F.lit(quote))
+            return F.coalesce(F.when((c == "") | c.rlike(special), quoted).otherwise(c), F.lit("NA"))
+        return F.coalesce(V.to_iso(c) if kind == "timestamp" else c.cast("string"), F.lit("NaN" if kind == "double" else "NA"))
+
+    lines = table.df.select(F.concat_ws(separator, *(field(c, t) for c, t in table.df.dtypes)).alias("line"))
+    lines.write.option("lineSep", record_separator).option("compression", "gzip" if gzip else "none").text(path)
     return sorted(table.df.sparkSession.read.text(path).inputFiles())

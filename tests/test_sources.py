@@ -42,6 +42,42 @@ def test_csv_line_of_wrong_length(spark, tmp_path):
         csv.import_csv(spark, str(tmp_path / "a.csv"), [csv.int_field(0), csv.int_field(1)]).df.collect()
 
 
+ODD = [" pad ", "a\nb", "c\r\nd", "e\rf", 'say "x", y', "", "NA", "\t", " ", '"', ",", "plain"]
+
+
+def test_csv_strings_come_back_as_they_went(spark, tmp_path):
+    t = Table.of(spark.createDataFrame([(i, s) for i, s in enumerate(ODD)], "i int, s string").repartition(3))
+    csv.export_csv(t, str(tmp_path / "out"))
+    back = csv.import_csv(spark, str(tmp_path / "out"), {"i": csv.int_field(0), "s": csv.str_field(1)}, record_separator="\r\n", line_breaks=True)
+    assert [r.s for r in back.df.orderBy("i").collect()] == ODD
+    alone = Table.of(spark.createDataFrame([("",), ("x",)], "s string").coalesce(1))
+    csv.export_csv(alone, str(tmp_path / "alone"))
+    assert csv.import_csv(spark, str(tmp_path / "alone"), {"s": csv.str_field(0)}, record_separator="\r\n").n_rows() == 2
+
+
+def test_csv_bytes_of_another_encoding(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("1,caf\u00e9\n".encode("iso-8859-1"))
+    fields = {"i": csv.int_field(0), "s": csv.str_field(1)}
+    read = lambda **o: csv.import_csv(spark, str(tmp_path / "a.csv"), fields, **o).df.first().s
+    assert read(encoding="iso88591", strict=True) == "caf\u00e9"
+    for encoding in ("utf8", "ascii"):
+        assert read(encoding=encoding) == "caf\ufffd"
+        with pytest.raises(Exception, match="bytes that are not"):
+            read(encoding=encoding, strict=True)
+
+
+def test_csv_max_lines_are_the_first_of_each_file(spark, tmp_path):
+    for name, start in (("a", 0), ("b", 1000)):
+        (tmp_path / f"{name}.csv").write_text("v\n" + "".join(f"{start + i}\n" for i in range(900)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")  # many parts a file
+    try:
+        t = csv.import_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], {"v": csv.int_field(0)}, header=True, max_lines=201)
+        assert sorted(r.v for r in t.df.collect()) == [*range(200), *range(1000, 1200)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_csv_pattern_of_instants(spark, tmp_path):
     (tmp_path / "a.csv").write_text("2020/05/06 07:08\nNA\n")
     t = csv.import_csv(spark, str(tmp_path / "a.csv"), {"t": csv.instant_field(0, "yyyy/MM/dd HH:mm")})

@@ -14,6 +14,7 @@ from quern.functions import aggregates as A
 from quern.functions import values as V
 from quern.operators.select import S
 from quern.operators.table import Table, concatenate
+from quern.plans.metrics import measured
 from quern.plans.render import count_operators
 
 
@@ -201,3 +202,77 @@ def test_groups_in_folders(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(k" in one.render()
     assert rows(concatenate(t, t)) == rows(t.concat(t))
     assert "a" in t.show_sample(4) and t.n_columns() == 2
+
+
+def test_grouping_keys_need_no_aggregate(spark):
+    t = table(spark, [("a", 1.0), ("b", 2.0), ("a", 3.0)], "k string, v double")
+    total = t.group_by("k").reduce_total(A.key("k").alias("k"), A.total("v").alias("s"))
+    assert rows(total) == [("a", 4.0), ("b", 2.0)]
+    assert count_operators(total.df)["SortAggregate"] == 0
+    by = t.group_by(F.upper("k")).reduce_total(S.extend(A.key(F.upper("k")).alias("u")).where(A.count("v") > 1))
+    assert rows(by) == [("A",)]
+
+
+def test_partial_and_total_share_one_exchange(spark):
+    t = Table.of(spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id").alias("v")))
+    p = t.group_by("k").reduce_partial(A.key("k").alias("k"), A.total("v").alias("s"))
+    total = p.group_by("k").reduce_total(A.key("k").alias("k"), A.total("s").alias("s"))
+    assert count_operators(total.df)["Exchange hashpartitioning"] == 1
+    assert rows(total) == rows(t.group_by("k").reduce_total(A.key("k").alias("k"), A.total("v").alias("s")))
+
+
+def test_top_k_is_a_filter_of_the_scan(spark, tmp_path):
+    spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"), F.lit("x").alias("c")).write.parquet(str(tmp_path / "t"))
+    t = Table.of(spark.read.parquet(str(tmp_path / "t")), clean=True)
+    best = t.top_k("v", 10, ascending=False)
+    assert sorted(r[0] for r in best.df.collect()) == list(range(4990, 5000))
+    assert count_operators(best.df)["BroadcastNestedLoopJoin"] == 0
+    near = t.top_k("v", 10, approximate=True, accuracy=2000).n_rows()
+    assert 10 <= near <= 30
+    assert 0 < t.top_k("v", 100, approximate=True, coverage=0.5).n_rows() < 1000
+
+
+def test_programs_of_no_or_another_table_are_refused(spark):
+    a, b = table(spark, [(1,)], "k int"), table(spark, [(2,)], "k int")
+    with pytest.raises(ValueError):
+        a.query(F.lit(1).alias("one"))
+    with pytest.raises(ValueError):
+        a.query(b["k"])
+    with pytest.raises(ValueError):
+        a.query(S.extend("k").where(b["k"] > 1))
+
+
+def test_small_sides_are_broadcast_by_their_size(spark, monkeypatch):
+    monkeypatch.setattr("quern.operators.joining.Join.SMALL", 1000)
+    a = Table.of(spark.range(10).withColumnRenamed("id", "k"))
+    small, large = Table.of(spark.range(20).withColumnRenamed("id", "k")), Table.of(spark.range(5000).withColumnRenamed("id", "k"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for other, n in ((small, 1), (large, 0)):
+            t = a.on("k").inner(other, "k", small=True).select(lambda x, y: S.extend(x["k"]))
+            assert count_operators(t.df)["BroadcastHashJoin"] == n and t.n_rows() == 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_expressions_are_tapped_and_queries_rendered(spark, caplog):
+    t = table(spark, [(1,), (3,)], "v int")
+    with caplog.at_level("INFO"):
+        assert rows(t.query(V.tap(t["v"] + 1, "sum").alias("w"))) == [(2,), (4,)]
+    assert "sum" in caplog.text
+    text = t.where(t["v"] > 1).count().render("query")
+    assert text.index("Aggregate") < text.index("Filter")
+
+
+def test_batches(spark):
+    t = table(spark, [(i, f"s{i}", None if i == 3 else i / 2) for i in range(30)], "i int, s string, d double")
+    got = [tuple(r.values()) for b in t.batches() for r in b.to_pylist()]
+    assert sorted(got)[2:4] == [(2, "s2", 1.0), (3, "s3", None)] and len(got) == 30
+    assert max(map(len, table(spark, [(i,) for i in range(30)], "i int").column_arrays(4))) <= 4
+
+
+def test_measured(spark, tmp_path):
+    with measured(spark, "write") as m:
+        spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count().write.parquet(str(tmp_path / "t"))
+    assert m.seconds > 0 and m.jobs >= 1 and m.output_bytes > 0 and m.shuffle_bytes > 0

@@ -77,6 +77,8 @@ def test_strings(spark):
     assert column(df, V.matches("s", "[a-z]+[0-9]*")) == [True, True, False, None, False]
     assert column(df, V.replace_match("s", "foo.*", "$1x")) == ["$1x", "bar456", "baz\n", None, ""]
     assert column(df, V.substring("s", 1, 3)) == ["oo1", "ar4", "az\n", None, ""]
+    assert column(df, V.substring("s", -1, 3)) == ["fo", "ba", "ba", None, ""]
+    assert column(df, V.substring("s", -3, 2)) == ["", "", "", None, ""]
     assert column(df, V.concatenate("s", "!")) == ["foo123!", "bar456!", "baz\n!", None, "!"]
     assert column(df, V.is_nonempty("s")) == [True, True, True, None, False]
 
