@@ -5,13 +5,14 @@
    least of them (a star, not all pairs), and the stars' components say which
    texts must meet.
 3. A component is compared in one task, or, where it is large, in tasks over
-   pairs of its blocks. There MinHash values are compared a few at a time, and a
+   pairs of its blocks, which are bounded in texts and in shingles. There MinHash values are compared a few at a time, and a
    pair is dropped as soon as the posterior probability that its similarity
    reaches the threshold is below ``tolerance`` (uniform prior, binomial
    matches). Pairs that stay are verified exactly. Tasks emit a link count and a
    root for each text, never the pairs.
 
-A text of fewer than n words has one shingle, all of its words; a text without
+The work on a component grows with the square of its texts, as every link is
+counted; a very long text is one row like others. A text of fewer than n words has one shingle, all of its words; a text without
 words is similar to equal texts only. Null texts count as empty. Repeated rows
 and ids are rows of their own; the class id is the least non-null id of the
 class. An empty table gives no rows. Further columns are ignored.
@@ -37,6 +38,10 @@ HASHES = BANDS * ROWS
 _MUL = np.random.default_rng(11).integers(1, 1 << 63, HASHES, dtype=U64) * U64(2) + U64(1)
 #: Shingles that are hashed at once, about.
 SLICE = 1 << 16
+#: Shingles of a block of texts, about, and the most bytes of bits over them.
+SHINGLES, BITS = 1 << 21, 1 << 26
+#: A group of texts is dealt over blocks of at least so many texts, if it has them, so that one group is many tasks.
+LEAST, SPREAD = 256, 12
 
 
 def shingle_sets(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,20 +100,37 @@ def least_matches(threshold: float, tolerance: float) -> np.ndarray:
     return out
 
 
-def _bits(sets: list[np.ndarray]) -> np.ndarray:
-    """Each set as bits over the shingles that at least two of the sets have."""
-    if not sets:
-        return np.zeros((0, 1), U64)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    allv = np.concatenate(sets)
-    vals, inv, n = np.unique(allv, return_inverse=True, return_counts=True)
-    col = np.cumsum(n > 1) - 1
-    keep = n[inv] > 1
-    row, c = row[keep], col[inv[keep]]
-    width = max(1, math.ceil((int(col[-1]) + 1 if len(vals) else 1) / 64))
-    bits = np.zeros((len(sets), width), U64)
-    np.bitwise_or.at(bits, (row, c >> 6), U64(1) << (c & 63).astype(U64))
-    return bits
+class Shared:
+    """Counts of shingles that one of several sets shares with others, in bounded memory.
+
+    Where the shingles that at least two sets have are few, each set is a row of
+    bits over them; else a set's shingles are marked in a row of their own and
+    looked up for the others. ``most`` bytes are the limit of the bits.
+    """
+
+    def __init__(self, sets: list[np.ndarray], most: int = BITS):
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        vals, inv, n = np.unique(np.concatenate([np.zeros(0, U64), *sets]), return_inverse=True, return_counts=True)
+        col, keep = np.cumsum(n > 1) - 1, n[inv] > 1
+        self.width = int((n > 1).sum())
+        row, self.cols = np.repeat(np.arange(len(sets)), size)[keep], col[inv[keep]].astype(np.int32)
+        self.offs = np.searchsorted(row, np.arange(len(sets) + 1))
+        words_ = max(1, math.ceil(self.width / 64))
+        self.bits = None
+        if words_ * 8 * len(sets) <= most:
+            self.bits = np.zeros((len(sets), words_), U64)
+            np.bitwise_or.at(self.bits, (row, self.cols >> 6), U64(1) << (self.cols & 63).astype(U64))
+        else:
+            self.mark = np.zeros(self.width, bool)
+
+    def counts(self, i: int, js: np.ndarray) -> np.ndarray:
+        if self.bits is not None:
+            return np.bitwise_count(self.bits[js] & self.bits[i]).sum(axis=1).astype(np.int64)
+        mine = self.cols[self.offs[i] : self.offs[i + 1]]
+        self.mark[mine] = True
+        out = np.fromiter((np.count_nonzero(self.mark[self.cols[self.offs[j] : self.offs[j + 1]]]) for j in js), np.int64, len(js))
+        self.mark[mine] = False
+        return out
 
 
 def compare(sig: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, left: np.ndarray, right: np.ndarray | None, threshold: float, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +138,7 @@ def compare(sig: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, left: n
     n = len(sets)
     links, root = np.zeros(n, np.int64), np.arange(n)
     size = np.fromiter(map(len, sets), np.int64, n)
-    bits: np.ndarray | None = None
+    shared: Shared | None = None
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -139,12 +161,12 @@ def compare(sig: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, left: n
             js, got = js[stay], got[stay]
         if not len(js):
             continue
-        if len(js) < 8 and bits is None:
+        if len(js) < 8 and shared is None:
             both = np.fromiter((len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in js), np.int64, len(js))
         else:
-            if bits is None:
-                bits = _bits(sets)
-            both = np.bitwise_count(bits[js] & bits[i]).sum(axis=1).astype(np.int64)
+            if shared is None:
+                shared = Shared(sets)
+            both = shared.counts(int(i), js)
         js = js[both >= threshold * (size[i] + size[js] - both) - 1e-9]
         if len(js):
             links[i] += weight[js].sum()
@@ -172,17 +194,21 @@ def text_classes(keyed: DataFrame, *, n: int, threshold: float, tolerance: float
                 keys = keys[offs[1:] > offs[:-1]]
                 has = pa.array(offs[1:] > offs[:-1])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(has), lists], ["k", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(has), pa.array(np.diff(offs)).filter(has), lists], ["k", "size", "bands"])
 
     rows = keyed.select("doc_id", "k").groupBy("k").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
     texts = stage(rows, "texts")  # one row a distinct text: its key, least id and number of copies
-    banded = keyed.select("k", "text").mapInArrow(propose, "k binary, bands array<long>").groupBy("k").agg(F.first("bands").alias("bands"))
-    banded = stage(banded, "bands").select("k", F.explode("bands").alias("band"))
+    banded = keyed.select("k", "text").mapInArrow(propose, "k binary, size long, bands array<long>")
+    signed = stage(banded.groupBy("k").agg(F.first("size").alias("size"), F.first("bands").alias("bands")), "bands")
+    banded = signed.select("k", F.explode("bands").alias("band"))
     stars = banded.groupBy("band").agg(F.min("k").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hub")
     meet = components(banded.join(stars, "band").where("k != hub").select(F.col("k").alias("a"), F.col("hub").alias("b")))
 
-    sized = meet.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    work = meet.withColumnRenamed("node", "k").join(sized, "root").join(texts.select("k", "n"), "k")
+    meet = stage(meet.withColumnRenamed("node", "k").join(signed.select("k", "size"), "k"), "meet")
+    n_texts = F.count(F.lit(1))
+    blocks = F.greatest(F.ceil(n_texts / block), F.ceil(F.sum("size") / SHINGLES), F.least(F.ceil(n_texts / LEAST), F.lit(SPREAD)))
+    sized = meet.groupBy("root").agg(blocks.cast("int").alias("blocks"))
+    work = meet.drop("size").join(sized, "root").join(texts.select("k", "n"), "k")
     bodies = keyed.select("k", "text").groupBy("k").agg(F.first("text").alias("text"))
     least = least_matches(threshold, tolerance)
 
@@ -201,7 +227,11 @@ def text_classes(keyed: DataFrame, *, n: int, threshold: float, tolerance: float
     own = F.pmod(F.xxhash64("k"), F.col("blocks").cast("long")).cast("int")
     dealt = sketched.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
-    ordered = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "k")
+    # pairs of blocks of one group go to tasks in turn, so that they don't meet by chance
+    tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turn = F.col("j").cast("long") * (F.col("j") + 1) / 2 + F.col("i")
+    task = F.pmod(F.pmod(F.xxhash64("root"), F.lit(tasks)) + turn.cast("long"), F.lit(tasks)).cast("int")
+    ordered = dealt.repartitionById(tasks, task).sortWithinPartitions("root", "i", "j", "k")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -241,7 +271,7 @@ def text_classes(keyed: DataFrame, *, n: int, threshold: float, tolerance: float
 
 
 def jaccard_classes(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-4, block: int = 4096
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-4, block: int = 8192
 ) -> DataFrame:
     """One row a document: ``doc_id, class_id, n_links``.
 
@@ -255,15 +285,18 @@ def jaccard_classes(
 
 
 def keep_one(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-4, block: int = 4096
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-4, block: int = 8192
 ) -> DataFrame:
     """The rows of ``docs``, one for each class: that of the least id.
 
-    Equal texts are combined before the shuffle, so a text that many rows have
-    costs one row a task.
+    Of equal texts with equal ids the row that stays is chosen by a hash of its
+    other columns. Equal texts are combined before the shuffle, so a text that
+    many rows have costs one row a task. All columns are carried through.
     """
     per_text = text_classes(_keyed(docs, id_col, text_col), n=n, threshold=threshold, tolerance=tolerance, block=block)
     keys = per_text.where("head").select(F.col("k").alias("__k"))
-    row, order = F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(F.col(id_col).isNull(), F.col(id_col))
+    others = F.to_json(F.struct(F.lit(0).alias("0"), *(F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col))))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(others), F.col(text_col).isNull())
     one = docs.groupBy(F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("__k")).agg(F.min_by(row, order).alias("__row"))
     return one.join(keys, "__k", "left_semi").select("__row.*")
