@@ -262,8 +262,12 @@ def text_classes(keyed: DataFrame, *, n: int, threshold: float, tolerance: float
             yield out
 
     found = stage(ordered.select("k", "n", "root", "sig", "sets", "own", "i", "j").mapInArrow(verify, "a binary, b binary, links long"), "links")
-    classes = components(found.select("a", "b"))
-    linked = found.groupBy(F.col("a").alias("k")).agg(F.sum("links").alias("links"))
+    # a text has a root in every pair of blocks it was in: it is tied to the least, and so are the others
+    linked = found.groupBy(F.col("a").alias("k")).agg(F.sum("links").alias("links"), F.array_sort(F.collect_set("b")).alias("roots"))
+    hub = F.col("roots")[0]
+    more = linked.where(F.size("roots") > 1).select(F.explode("roots").alias("a"), hub.alias("b")).where("a != b").distinct()
+    classes = components(linked.select(F.col("k").alias("a"), hub.alias("b")).union(more))
+    linked = linked.drop("roots")
     per_text = texts.join(classes.withColumnRenamed("node", "k"), "k", "left").join(linked, "k", "left").withColumn("root", F.coalesce("root", "k"))
     heads = per_text.groupBy("root").agg(F.min("low").alias("class_id"), F.min(F.struct(F.col("low").isNull(), "low", "k")).alias("head"))
     links = (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long")
