@@ -6,9 +6,14 @@ of each is its completion; its mask lists the spans of characters (start:end,
 end exclusive) that train: what the assistant says, with its end mark.
 
 Only DataFrame expressions are used. A null role counts as ``user``, a null text
-as empty, a null conversation as one without turns. Marks of the format inside
-a text are broken by a blank. Turns are ordered by number, then role and text,
-so repeated numbers have one order. An empty table gives no rows.
+as empty, a null conversation as one without turns; a turn without a
+conversation id is a conversation of its own. Marks of the format inside a text
+or role are broken by a blank, and so are line ends in a role. Turns are ordered
+by number, then role and text, so repeated numbers have one order, and repeated
+rows are turns of their own. A conversation, however long its texts, is one row,
+as its pair has to be. An empty table gives no rows. Further columns of pairs
+are carried through, but for those named as the results, which are replaced;
+further columns of turns are ignored.
 """
 
 from __future__ import annotations
@@ -16,18 +21,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import folds
+
+RESULTS = ("n_prompt_turns", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask")
 TURNS = "array<struct<role:string,text:string>>"
 
 
 def gather_turns(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``conv_id, turns``: each conversation as an array of (role, text) in order."""
     row = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("user")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    got = turns.groupBy(F.col(id_col).alias("conv_id")).agg(F.array_sort(F.collect_list(row)).alias("turns"))
+    own = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+    rows = turns.select(F.col(id_col).alias("conv_id"), own.alias("own"), row.alias("row"))
+    got = rows.groupBy("conv_id", "own").agg(F.array_sort(F.collect_list("row")).alias("turns"))
     return got.select("conv_id", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
 def head(turn: Column) -> Column:
-    return F.concat(F.lit("<|im_start|>"), F.coalesce(turn["role"], F.lit("user")), F.lit("\n"))
+    role = F.replace(F.replace(F.coalesce(turn["role"], F.lit("user")), F.lit("<|"), F.lit("< |")), F.lit("\n"), F.lit(" "))
+    return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"))
 
 
 def body(turn: Column) -> Column:
@@ -39,15 +50,13 @@ def render(turns: Column) -> Column:
 
 
 def trained_spans(turns: Column) -> Column:
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    before = folds.running(F.transform(turns, lambda x: F.length(head(x)) + F.length(body(x))), F.lit(0), lambda a, b: a + b)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(head(x))
-        stop = begin + F.length(body(x))
-        span = F.concat_ws(":", begin.cast("string"), stop.cast("string"))
-        return F.struct(stop.alias("at"), F.when(x["role"] == "assistant", F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def span(x: Column, at: Column) -> Column:
+        begin = at + F.length(head(x))
+        return F.when(x["role"] == "assistant", F.concat_ws(":", begin.cast("string"), (begin + F.length(body(x))).cast("string")))
 
-    return F.array_join(F.aggregate(turns, start, step, lambda acc: acc["out"]), ",")
+    return F.array_join(F.zip_with(turns, before, span), ",")
 
 
 def preference_pairs(pairs: DataFrame, *, chosen_col: str = "chosen", rejected_col: str = "rejected") -> DataFrame:
@@ -57,7 +66,7 @@ def preference_pairs(pairs: DataFrame, *, chosen_col: str = "chosen", rejected_c
     same = F.zip_with(a, b, lambda x, y: x.isNotNull() & y.isNotNull() & x["role"].eqNullSafe(y["role"]) & x["text"].eqNullSafe(y["text"]))
     miss = F.array_position(same, F.lit(False))
     shared = F.when(miss > 0, miss - 1).otherwise(F.size(same)).cast("int")
-    rest = [c for c in pairs.columns if c not in (chosen_col, rejected_col)]
+    rest = [F.col(f"`{c}`") for c in pairs.columns if c not in (chosen_col, rejected_col, *RESULTS)]
     cut = pairs.select(*rest, a.alias("__a"), b.alias("__b"), shared.alias("n_prompt_turns"))
     left = cut.select(
         *rest, "n_prompt_turns", F.slice("__a", F.lit(1), F.col("n_prompt_turns")).alias("__p"),

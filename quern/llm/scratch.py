@@ -1,8 +1,8 @@
 """Lineage cuts that survive the loss of an executor.
 
 A staged table is a Parquet folder below ``spark.checkpoint.dir``, which every
-executor of a cluster can read. A folder of the local machine is used only
-where that setting is absent, as in unit tests.
+executor of a cluster can read. A folder of the local machine is used only in
+local mode, and there only where that setting is absent.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder, removed when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quern-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}/{name}"

@@ -44,8 +44,12 @@ select d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in se
 """
 
 
+def _role(x: str) -> str:
+    return f"replace(replace({x}.role, '<|', '< |'), chr(10), ' ')"
+
+
 def _show(x: str) -> str:
-    return f"('<|im_start|>' || {x}.role || chr(10) || replace({x}.text, '<|', '< |') || '<|im_end|>' || chr(10))"
+    return f"('<|im_start|>' || {_role(x)} || chr(10) || replace({x}.text, '<|', '< |') || '<|im_end|>' || chr(10))"
 
 
 def _render(ts: str) -> str:
@@ -54,12 +58,12 @@ def _render(ts: str) -> str:
 
 def _mask(ts: str) -> str:
     before = f"coalesce(list_sum(list_transform({ts}[1:i - 1], lambda y: length{_show('y')})), 0)::bigint"
-    begin = f"({before} + length('<|im_start|>' || {ts}[i].role || chr(10)))"
+    begin = f"({before} + length('<|im_start|>' || {_role(ts + '[i]')} || chr(10)))"
     return f"coalesce(array_to_string(list_transform(list_filter(range(1, len({ts}) + 1), lambda i: {ts}[i].role = 'assistant'), lambda i: {begin} || ':' || ({before} + length{_show(ts + '[i]')})), ','), '')"
 
 
 PREFERENCES = f"""
-with t as (select conv_id, list({{'role': coalesce(role, 'user'), 'text': coalesce(text, '')}} order by turn, role, text) as ts from conversations group by conv_id),
+with t as (select conv_id, list({{'role': coalesce(role, 'user'), 'text': coalesce(text, '')}} order by turn, role, text) as ts from (select *, case when conv_id is null then row_number() over () end as own from conversations) group by conv_id, own),
 p as (select a.conv_id, a.ts as c, list_concat(a.ts[1:len(a.ts) - 1], case when b.ts is null then [] else [b.ts[len(b.ts)]] end) as r from t a left join t b on b.conv_id = a.conv_id + 1),
 n as (select *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] is distinct from r[i])) - 1, least(len(c), len(r))) as k from p),
 x as (select conv_id, k, c[1:k] as pp, c[k + 1:] as cc, r[k + 1:] as rr from n)

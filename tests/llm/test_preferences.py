@@ -58,6 +58,30 @@ def test_odd_turns(spark):
     assert tuple(P.preference_pairs(null).first())[1:] == (0, "", "", "", "", "")
 
 
+def test_columns_named_as_results_and_marks_in_roles(spark):
+    a, b = [("us<|er\nx", "q"), ("assistant", "a")], [("us<|er\nx", "q"), ("assistant", "b")]
+    df = spark.createDataFrame([(1, a, b, "mine", 5, "m")], f"id int, chosen {P.TURNS}, rejected {P.TURNS}, prompt string, n_prompt_turns int, chosen_mask string")
+    got = P.preference_pairs(df)
+    assert got.columns == ["id", *P.RESULTS]
+    want = plain(*([(r.replace("<|", "< |").replace("\n", " "), t) for r, t in x] for x in (a, b)))
+    assert tuple(got.first())[1:] == want
+
+
+def test_turns_without_a_conversation_are_their_own(spark):
+    turns = spark.createDataFrame([(None, i, "user", f"t{i}") for i in range(20)], "conv_id long, turn long, role string, text string").repartition(3)
+    got = P.gather_turns(turns).collect()
+    assert len(got) == 20 and all(len(r.turns) == 1 for r in got)
+
+
+def test_long_conversations_and_texts(spark):
+    long = [("user" if i % 2 == 0 else "assistant", f"turn {i} é") for i in range(20_000)]
+    wide = [("user", "q"), ("assistant", "日 <|x " * 200_000)]
+    df = spark.createDataFrame([(0, long, long[:3] + [("assistant", "other")]), (1, wide, wide[:1])], f"id int, chosen {P.TURNS}, rejected {P.TURNS}")
+    got = {r.id: tuple(r)[1:] for r in P.preference_pairs(df).collect()}
+    assert got[0] == plain(long, long[:3] + [("assistant", "other")])
+    assert got[1] == plain(wide, wide[:1])
+
+
 def test_no_python_on_the_main_path(spark):
     turns = spark.createDataFrame([(1, 0, "user", "q")], "conv_id long, turn long, role string, text string")
     plan = P.preference_pairs(P.swapped_replies(P.gather_turns(turns)))._jdf.queryExecution().toString()

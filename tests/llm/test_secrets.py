@@ -86,6 +86,38 @@ def test_redaction_leaves_nothing_of_a_private_key(spark, tmp_path):
     assert secrets.redact(secrets.scan_versions(key, f"file://{tmp_path}/v")).first().text == "a [pem] z"
 
 
+def test_ranks_are_those_of_the_list_in_use(spark, tmp_path):
+    """A ledger filled with one list is read with another: rules in front, in another order, and fewer."""
+    docs = spark.createDataFrame([(1, TEXTS[5] + " ghp_" + "Z" * 36), (2, TEXTS[6])], "doc_id long, text string")
+    path = f"file://{tmp_path}/ledger"
+    secrets.update_ledger(docs, path, rules=secrets.BASE_RULES)
+    for i, rules in enumerate(([secrets.Rule("word", "api_key"), *secrets.RULES], secrets.RULES[::-1], secrets.BASE_RULES[1:])):
+        fresh = secrets.scan_versions(docs, f"file://{tmp_path}/fresh{i}", rules=rules)
+        known = secrets.scan_versions(docs, path, rules=rules)
+        assert sorted(map(str, known.collect())) == sorted(map(str, fresh.collect()))
+        assert all(rules[x["rank"]].key == x["rule"] for r in known.collect() for x in r.findings)
+
+
+def test_many_findings_in_one_text(spark, tmp_path):
+    n = 100_000
+    text = "".join(f"é AKIA{i:016d}" for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = secrets.scan_versions(docs, f"file://{tmp_path}/many").first()
+    want = [(2 + 22 * i, 22 + 22 * i) for i in range(n)]
+    assert [(x["start"], x["stop"]) for x in got.findings if x["rule"] == "access@1"] == want
+    few = [secrets.BASE_RULES[1]]
+    assert secrets.redact(secrets.scan_versions(docs, f"file://{tmp_path}/some", rules=few)).first().text == "é [access]" * n
+
+
+def test_columns_named_as_results(spark, tmp_path):
+    docs = spark.createDataFrame([(1, TEXTS[0], "mine", "b")], "doc_id long, text string, findings string, blob string")
+    got = secrets.scan_versions(docs, f"file://{tmp_path}/x", into="found")
+    assert got.columns == ["doc_id", "text", "findings", "blob", "found"]
+    clean = secrets.redact(got, findings="found")
+    assert clean.columns == docs.columns and tuple(clean.first()) == (1, "[assign]", "mine", "b")
+    assert [f["rule"] for f in secrets.scan_versions(docs, f"file://{tmp_path}/x").first().findings] == ["assign@1"]
+
+
 def test_no_python_on_the_main_path(spark, odd_docs, tmp_path):
     plan = secrets.scan_versions(odd_docs, f"file://{tmp_path}/p")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
