@@ -36,8 +36,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are put out of the texts; documents stay."""
-    found = secrets.redact(secrets.scan_versions(docs, scratch_path(spark, "ledger")))
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    found = secrets.redact(secrets.scan_versions(docs, scratch_path(spark, "ledger"), into="__findings"), findings="__findings")
+    found = found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else found
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
