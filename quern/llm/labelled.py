@@ -14,9 +14,11 @@ def held_out(id_col: str) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, *, id_col: str, text_col: str, sample: int) -> DataFrame:
     """``text, label`` of at most ``sample`` labelled rows that may teach, chosen by the hash of their id.
 
-    The chosen labels are bounded by ``sample``, so they are broadcast.
+    The chosen labels are bounded by ``sample``, so they are broadcast. Of rows
+    that share an id the one whose text has the least hash teaches.
     """
     own = labels.where(~held_out(id_col) & F.col(label).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
     own = own.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(sample)
     one = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return one.join(F.broadcast(own), id_col).select("text", "label")
+    one = one.join(F.broadcast(own), id_col).groupBy(id_col).agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label"))
+    return one.select("text", "label")

@@ -6,9 +6,12 @@ of the pair, so an insult may count for more beside another term, which no sum o
 single weights can say.
 
 The model is fitted on the driver from a bounded sample of labelled rows
-(``sample``): terms are ranked there by how far their presence tells the classes
-apart, and the best of them (``terms``) are learnt. Null texts count as empty;
-empty texts get a score. Rows without an id count as held out. Repeated rows and
+(``sample``). Its terms are counted where the rows are; of those in ``least_rows``
+rows or more, ``terms`` (fewer for few rows) are learnt: three quarters by how far their presence tells
+the classes apart, the rest by frequency, since a term that tells nothing alone
+may do so beside another. Of a row only the learnt terms come to the driver, at
+most ``4 * terms`` bytes. Null texts count as empty; empty texts get a score, and
+very long texts are read whole. Rows without an id count as held out. Repeated rows and
 ids are rows of their own. Without any label to learn from every score is 0.5.
 Further columns are ignored.
 """
@@ -25,9 +28,11 @@ from pyspark.sql import functions as F
 
 from quern.llm import words
 from quern.llm.labelled import held_out, training_rows
+from quern.llm.scratch import stage
 
 BITS = 22
 PREFIXES = (4, 5, 6)
+BALANCE = 2.0
 
 
 def hashed_terms(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,36 +83,54 @@ class Machine:
         return self._table
 
 
-def pick_terms(rows: list[np.ndarray], y: np.ndarray, most: int, least_rows: int) -> np.ndarray:
-    """The terms whose presence tells the classes apart best (largest chi-square)."""
-    df, hit = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
-    for terms, one in zip(rows, y):
-        df[terms] += 1
-        if one:
-            hit[terms] += 1
-    able = np.flatnonzero(df >= least_rows)
-    d, n, p = df[able].astype(float), len(y), y.sum()
+def learnable(terms: int, n: int) -> int:
+    """At most ``terms``, and one for eight rows: more would be learnt by heart."""
+    return min(terms, max(200, n // 8))
+
+
+def pick_terms(term: np.ndarray, df: np.ndarray, hit: np.ndarray, n: int, p: int, most: int, least_rows: int) -> np.ndarray:
+    """Of terms with their numbers of rows and of positive rows (``n`` and ``p`` in all): which to learn."""
+    order = np.argsort(term)
+    term, d, hit = term[order], df[order].astype(float), hit[order]
     expected = d * p / n
-    chi = (hit[able] - expected) ** 2 / np.maximum(expected * (1 - p / n) * (1 - d / n), 1e-9)
-    able, chi = able[chi > 3.84], chi[chi > 3.84]
-    return np.sort(able[np.argsort(-chi, kind="stable")[:most]])
+    chi = (hit - expected) ** 2 / np.maximum(expected * (1 - p / n) * (1 - d / n), 1e-9)
+    chi = np.where((chi > 3.84) & (d >= least_rows), chi, 0)
+    best = np.argsort(-chi, kind="stable")[: most * 3 // 4]
+    best = best[chi[best] > 0]
+    spread = np.where(d >= least_rows, d * (n - d), 0)
+    spread[best] = 0
+    common = np.argsort(-spread, kind="stable")[: most // 4]
+    return np.sort(term[np.concatenate((best, common[spread[common] > 0]))])
+
 
+def count_terms(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``term, df, hit`` of rows of distinct terms."""
+    every = np.concatenate([np.zeros(0, np.int32), *rows])
+    term, inv = np.unique(every, return_inverse=True)
+    df, hit = np.bincount(inv, minlength=len(term)), np.bincount(inv, np.repeat(np.asarray(y, float), [len(r) for r in rows]), len(term))
+    return term, df, hit.astype(np.int64)
 
-def fit(rows: list[np.ndarray], y: np.ndarray, *, terms: int = 6000, factors: int = 4, epochs: int = 12, rate: float = 0.03, l2: float = 1e-4, batch: int = 512, least_rows: int = 4, seed: int = 7) -> Machine:
+
+def fit(rows: list[np.ndarray], y: np.ndarray, known: np.ndarray | None = None, *, terms: int = 6000, factors: int = 4, epochs: int = 20, rate: float = 0.01, l2: float = 1e-4, batch: int | None = None, least_rows: int = 4, seed: int = 7) -> Machine:
     """Minimise the logistic loss by Adam over batches of rows in a fixed random order.
 
-    ``rows``: the distinct term numbers of each row.
+    ``rows``: the distinct term numbers of each row, of which ``known`` are learnt
+    (None: as :func:`pick_terms` says). Rows of either class weigh by the root of
+    how many there are of the other, as far as ``BALANCE``.
     """
     rng = np.random.default_rng(seed)
     if not len(y) or y.min() == y.max():
         base = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
         return Machine(np.zeros(0, np.int64), base, np.zeros(0), np.zeros((0, factors)))
-    known = pick_terms(rows, y, terms, least_rows)
+    if known is None:
+        known = pick_terms(*count_terms(rows, y), len(y), int(y.sum()), learnable(terms, len(y)), least_rows)
+    batch = batch or int(np.clip(len(y) // 6, 64, 512))
     at = np.full(1 << BITS, -1, np.int32)
     at[known] = np.arange(len(known))
     kept = [k[k >= 0] for k in (at[r] for r in rows)]
     term, offs = np.concatenate(kept), np.concatenate(([0], np.cumsum([len(k) for k in kept])))
     share = y.mean()
+    weight = np.where(y > 0, min(BALANCE, max(1.0, np.sqrt((1 - share) / share))), min(BALANCE, max(1.0, np.sqrt(share / (1 - share)))))
     w, v, b = np.zeros(len(known)), rng.normal(0, 0.05, (len(known), factors)), float(np.log(share / (1 - share)))
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)]
     mb = vb = 0.0
@@ -122,7 +145,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, *, terms: int = 6000, factors: in
             tv = v[t]
             total = np.column_stack([np.bincount(r, tv[:, k], len(some)) for k in range(factors)])
             z = b + np.bincount(r, w[t], len(some)) + 0.5 * (total**2 - np.column_stack([np.bincount(r, tv[:, k] ** 2, len(some)) for k in range(factors)])).sum(axis=1)
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[some]) / len(some)
+            g = weight[some] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[some]) / len(some)
             gt = g[r]
             gw = np.bincount(t, gt, len(w)) + l2 * w
             gv = np.column_stack([np.bincount(t, gt * (total[r, k] - tv[:, k]), len(w)) for k in range(factors)]) + l2 * v
@@ -139,22 +162,38 @@ def fit(rows: list[np.ndarray], y: np.ndarray, *, terms: int = 6000, factors: in
     return Machine(known, b, w, v)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, **options) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, terms: int = 6000, least_rows: int = 4, **options) -> Machine:
     """Learn ``label`` from at most ``sample`` rows that are not held out."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = stage(training_rows(docs, labels, label, id_col=id_col, text_col=text_col, sample=sample), "teaching")
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).first()
+
+    def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 b = batch.slice(lo, 512)
-                terms, rows = distinct_terms(*hashed_terms(b.column(0)))
-                ends = np.searchsorted(rows, np.arange(b.num_rows + 1))
-                packed = [terms[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), b.column(1)], ["x", "y"])
+                found, row = distinct_terms(*hashed_terms(b.column(0)))
+                ends = np.searchsorted(row, np.arange(b.num_rows + 1))
+                yield [found[a:z] for a, z in zip(ends[:-1], ends[1:])], b.column(1).to_numpy()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, y in terms_of(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in count_terms(found, y)], ["term", "df", "hit"])
+
+    sums = rows.mapInArrow(count, "term long, df long, hit long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("hit").alias("hit"))
+    counts = sums.where(F.col("df") >= least_rows).toArrow()  # at most 2 ** BITS terms of a bounded sample
+    known = pick_terms(*(counts.column(c).to_numpy() for c in ("term", "df", "hit")), max(total["n"], 1), total["p"], learnable(terms, total["n"]), least_rows)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, y in terms_of(batches):
+            packed = [np.intersect1d(f, shared.value, assume_unique=True).astype(np.int32).tobytes() for f in found]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), pa.array(y.astype(np.int32))], ["x", "y"])
 
-    got = training_rows(docs, labels, label, id_col=id_col, text_col=text_col, sample=sample).mapInArrow(scan, "x binary, y int").toArrow()
+    got = rows.mapInArrow(keep, "x binary, y int").toArrow()
     texts, y = got.column("x").to_pylist(), got.column("y").to_numpy()
     order = sorted(range(len(texts)), key=lambda i: (texts[i], y[i]))  # the order rows arrive in is not fixed
-    return fit([np.frombuffer(texts[i], np.int32) for i in order], y[order].astype(float), **options)
+    return fit([np.frombuffer(texts[i], np.int32) for i in order], y[order].astype(float), known, **options)
 
 
 def score_texts(docs: DataFrame, model: Machine, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -49,6 +49,34 @@ def test_machine_margin_is_the_sum_over_pairs():
     assert np.allclose(m.margins(term, row, 4), want)
 
 
+def test_a_term_that_tells_nothing_alone():
+    """``clan`` is as common in either class; beside ``vile`` it decides."""
+    rng = random.Random(3)
+    texts, y = [], []
+    for _ in range(4000):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        texts.append(" ".join(["vile"] * insult + ["clan"] * group + [f"w{rng.randint(0, 400)}" for _ in range(8)]))
+        y.append(float(insult == group))
+    terms, rows = toxicity.distinct_terms(*toxicity.hashed_terms(pa.array(texts)))
+    ends = np.searchsorted(rows, np.arange(len(texts) + 1))
+    model = toxicity.fit([terms[a:z] for a, z in zip(ends[:-1], ends[1:])], np.array(y), rate=0.03)
+    s = model.score(pa.array(["vile w1", "clan w1", "vile clan w1", "w1"]))
+    assert min(s[2], s[3]) > 0.7 and max(s[0], s[1]) < 0.3
+
+
+def test_teaching_rows_are_bounded(spark):
+    from quern.llm.labelled import training_rows
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(i, f"long {'x ' * 50_000}") for i in range(2, 30)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)], "doc_id long, toxic int")
+    rows = training_rows(docs, labels, "toxic", id_col="doc_id", text_col="text", sample=10).collect()
+    assert len(rows) <= 10
+    every = training_rows(docs, labels, "toxic", id_col="doc_id", text_col="text", sample=1000)
+    assert every.where("text like 'text %'").count() == 1
+    model = toxicity.train(docs, labels)
+    assert len(model.known) <= 200 and toxicity.score_texts(docs, model).count() == docs.count()
+
+
 def test_machine_learns_a_product():
     rng = random.Random(2)
     texts, y = [], []
