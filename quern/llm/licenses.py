@@ -8,8 +8,9 @@ verified by aligning its words with the template's.
 
 Fixed phrases are found besides, by their words alone.
 
-Null texts count as empty. Repeated rows and ids are rows of their own. An
-empty table gives no rows. Further columns are ignored.
+Null texts count as empty; very long texts are scanned whole. Repeated rows and
+ids are rows of their own, and of equal scores a text keeps every label. An empty
+table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,6 +46,9 @@ TEMPLATES = [
     ("reserved", "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means"),
 ]
 
+#: Words that tell no license from another. All others of a short template have to stand in its place.
+GENERIC = "a an is license licensed of released terms the this under version work"
+
 SCANNED = "rid long, doc_id long, n_words long, n_base long, first_word long, last_word long, base int, start long, words array<long>, at array<int>, gram array<long>"
 
 
@@ -58,6 +62,7 @@ def scan_licenses(
     k: int = 3,
     band: int = 3,
     threshold: float = 0.9,
+    near_threshold: float = 0.65,
     long_threshold: float = 0.6,
 ) -> tuple[DataFrame, DataFrame]:
     """``(documents, spans)``.
@@ -66,7 +71,8 @@ def scan_licenses(
     last_word, base_labels, labels, score``. spans: ``rid, doc_id, template,
     label, first_word, end_word, votes, score`` of every verified statement.
     Templates of under 12 words must align with ``threshold`` of a perfect copy,
-    longer ones with ``long_threshold``. Diagonals up to ``band`` apart merge.
+    or with ``near_threshold`` and all their words but the generic ones; longer
+    ones with ``long_threshold``. Diagonals up to ``band`` apart merge.
     """
     spark = docs.sparkSession
     forms = [words.hash_words([t]) for _, t in templates]
@@ -126,6 +132,7 @@ def scan_licenses(
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(one) > band).cast("int"), F.lit(1))
     merged = diagonals.withColumn("apart", apart).withColumn("run", F.sum("apart").over(one)).groupBy("rid", "start", "template", "run")
     spans = merged.agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    telling = [np.setdiff1d(f, words.hash_words([GENERIC])) for f in forms]
     bodies = regions.select("rid", "start", "doc_id", "words")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +143,13 @@ def scan_licenses(
             pairs = [(forms[t], v[o[r] : o[r + 1]][s : z + len(forms[t]) + band]) for r, (t, s, z) in enumerate(zip(template, begin, hi))]
             got, first, end = local_scores(pairs)
             share = got / np.array([MATCH * len(f) for f, _ in pairs], float)
-            at = [r for r in range(len(pairs)) if share[r] >= (threshold if len(pairs[r][0]) < 12 else long_threshold)]
+
+            def stands(r: int) -> bool:
+                if len(pairs[r][0]) >= 12:
+                    return share[r] >= long_threshold
+                return share[r] >= threshold or share[r] >= near_threshold and bool(np.isin(telling[template[r]], pairs[r][1][first[r] : end[r]]).all())
+
+            at = [r for r in range(len(pairs)) if stands(r)]
             base = [start[r] + begin[r] for r in at]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([rid[r] for r in at], pa.int64()), pa.array([doc[r] for r in at], pa.int64()), pa.array([template[r] for r in at], pa.int32()), pa.array([templates[template[r]][0] for r in at], pa.string()), pa.array([x + int(first[r]) for x, r in zip(base, at)], pa.int64()), pa.array([x + int(end[r]) for x, r in zip(base, at)], pa.int64()), pa.array([n[r] for r in at], pa.int64()), pa.array(share[at] if at else [], pa.float64())],

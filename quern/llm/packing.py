@@ -66,7 +66,7 @@ def plan(
     capacity: int,
     max_documents: int,
     max_cost: int,
-    weights: tuple[float, float, float] = (1.0, 1e-4, 1e-4),
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0),
     score: str = "norm",
 ) -> tuple[np.ndarray, int]:
     """Runs ``(length, first rank, first sequence, pieces a sequence, offset)`` and the number of sequences.

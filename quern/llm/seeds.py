@@ -42,9 +42,14 @@ def passes(known: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return (known[lead >> 3] >> (lead & 7).astype(np.uint8)) & 1 > 0
 
 
-def regions_of(h: np.ndarray, offs: np.ndarray, n: int, known: np.ndarray, pad: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """``(row, first word, words, places, n-grams)`` of each stretch with passing n-grams, ``pad`` words around."""
+def regions_of(h: np.ndarray, offs: np.ndarray, n: int, known: np.ndarray, pad: int, shorter: tuple[int, ...] = ()) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(row, first word, words, places, n-grams)`` of each stretch with passing n-grams (or ``shorter`` ones), ``pad`` words around."""
     grams, at = words.own_ngrams(h, offs, n)
+    if shorter:
+        every = [(grams, at), *(words.own_ngrams(h, offs, m) for m in shorter)]
+        grams, at = (np.concatenate(x) for x in zip(*every))
+        order = np.argsort(at, kind="stable")
+        grams, at = grams[order], at[order]
     hit = np.flatnonzero(passes(known, grams))
     if not len(hit):
         return
@@ -75,8 +80,8 @@ class Numbering:
         return np.arange(self.next - n, self.next)
 
 
-def find_regions(docs: DataFrame, id_col: str, text_col: str, n: int, known: np.ndarray, pad: int) -> DataFrame:
-    """``rid, doc_id, start, words, at, gram`` of each such stretch of ``docs``; stage it before use."""
+def find_regions(docs: DataFrame, id_col: str, text_col: str, n: int, known: np.ndarray, pad: int, *, shorter: tuple[int, ...] = (), kind: str = "long") -> DataFrame:
+    """``rid, doc_id, start, words, at, gram`` of each such stretch of ``docs``; stage it before use. ``kind``: the type of ids."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,12 +89,12 @@ def find_regions(docs: DataFrame, id_col: str, text_col: str, n: int, known: np.
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 b = batch.slice(lo, 1024)
-                got = list(regions_of(*words.word_hashes(b.column(1)), n, shared.value, pad))
+                got = list(regions_of(*words.word_hashes(b.column(1)), n, shared.value, pad, shorter))
                 if got:
                     row, start, w, at, g = zip(*got)
                     cols = [pa.array(number.take(len(got))), b.column(0).take(pa.array(row)), pa.array(start, pa.int64()), lists(w, pa.int64()), lists(at, pa.int32()), lists(g, pa.int64())]
                     yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "start", "words", "at", "gram"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(
-        scan, "rid long, doc_id long, start long, words array<long>, at array<int>, gram array<long>"
+    return docs.select(F.col(id_col).cast(kind).alias("doc_id"), text_col).mapInArrow(
+        scan, f"rid long, doc_id {kind}, start long, words array<long>, at array<int>, gram array<long>"
     )

@@ -6,7 +6,8 @@ encoded, with delta packing where a dictionary grows too large; row groups and
 pages have set sizes and every file carries a page index, so metadata can be
 read without touching ids and a range of documents without reading the rest.
 
-Null texts count as empty. Repeated ids and rows all stay, in the order of id,
+Null texts count as empty; a very long text is one row, however many ids it has.
+Repeated ids and rows all stay, in the order of id,
 then of the text's hash. Null ids come first. An empty table gives no rows.
 Further columns are ignored.
 """
@@ -19,11 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.tokens import encoder
 
+#: Parts up to which their first places are broadcast (16 bytes each); beyond, they are joined by merge.
+PARTS = 1 << 20
 FILES = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
@@ -33,8 +36,9 @@ def write_token_files(
     """Encode ``docs`` (doc_id, text) and write the files to ``path``.
 
     Texts are dealt by range of document id before they are encoded, so that
-    each is encoded once and the ids are never shuffled. The text's hash is
-    part of the range, so one id that many rows share fills many parts.
+    each is encoded once and the ids are never shuffled. The text's hash and a
+    row number are part of the range, so one id, or one row, that recurs often
+    fills many parts.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +56,7 @@ def write_token_files(
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "part", "local_start", "n_tokens", "ids"])
                 before += int(ends[-1]) if len(ends) else 0
 
-    dealt = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
+    dealt = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("n")).repartitionByRange("doc_id", "h", "n").sortWithinPartitions("doc_id", "h")
     (
         dealt.select("doc_id", "text")
         .mapInArrow(encode, FILES)
@@ -73,13 +77,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.schema(FILES).parquet(path)
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    totals = totals.groupBy().agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("p"))
-    first = totals.select(
-        F.inline(
-            F.expr("transform(p, (x, i) -> struct(x.part as part, aggregate(slice(p, 1, i), 0L, (a, y) -> a + y.n) as first))")
-        )
-    )
-    return files.join(F.broadcast(first), "part").select("doc_id", (F.col("first") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part, in one task
+    first = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    parts = len(files.inputFiles())
+    first = F.broadcast(first) if parts <= PARTS else first.hint("merge")
+    return files.join(first, "part").select("doc_id", (F.col("first") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def digests(files: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from quern.llm import packing, token_files, tokens
 
 pytest.importorskip("public_tokenizers")
@@ -62,6 +64,21 @@ def test_token_files_keep_index_and_columns(spark, odd_docs, tmp_path):
     assert "ids" not in plan[plan.index("Physical Plan") :].split("ReadSchema", 1)[1].split("\n")[0]
 
 
+def test_one_row_that_recurs_fills_many_parts(spark, tmp_path):
+    docs = spark.range(6000).select(F.when(F.col("id") < 4000, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 4000, "the same text").otherwise(F.concat(F.lit("text "), "id")).alias("text")).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # such small parts would be one
+    try:
+        token_files.write_token_files(docs, f"file://{tmp_path}/t", VOCABULARY)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = token_files.read_token_files(spark, f"file://{tmp_path}/t")
+    raw = spark.read.parquet(f"file://{tmp_path}/t")
+    assert max(r["count"] for r in raw.groupBy("part").count().collect()) < 4000
+    rows = sorted(files.select("start", "n_tokens", "doc_id").collect())
+    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in docs.collect())
+    assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1].tolist()]
+
+
 def test_token_files_of_no_rows(spark, no_docs, tmp_path):
     token_files.write_token_files(no_docs, f"file://{tmp_path}/none", VOCABULARY)
     assert token_files.digests(token_files.read_token_files(spark, f"file://{tmp_path}/none")).collect() == []
@@ -99,9 +116,9 @@ def one_by_one(lengths, capacity, most, cost, weights):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=12), st.integers(2, 12), st.integers(1600, 3000), st.sampled_from(["norm", "dot"]))
-def test_plan_holds_every_capacity(counts, most, cost, score):
-    runs, n = packing.plan(counts, capacity=40, max_documents=most, max_cost=cost, score=score)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=12), st.integers(2, 12), st.integers(1600, 3000), st.sampled_from(["norm", "dot"]), st.sampled_from([(1.0, 1e-4, 1e-4), (1.0, 1.0, 1.0)]))
+def test_plan_holds_every_capacity(counts, most, cost, score, weights):
+    runs, n = packing.plan(counts, capacity=40, max_documents=most, max_cost=cost, score=score, weights=weights)
     used, placed = {}, {}
     for length, rank, seq, q, offset in runs.tolist():
         later = [r for l, r, *_ in runs.tolist() if l == length and r > rank]
@@ -119,4 +136,6 @@ def test_plan_holds_every_capacity(counts, most, cost, score):
     assert sorted(used) == list(range(n))
     if score == "norm":
         lengths = [x for x, k in counts.items() for _ in range(k)]
-        assert n <= one_by_one(lengths, 40, most, cost, (1.0, 1e-4, 1e-4)) + 1
+        assert n <= one_by_one(lengths, 40, most, cost, weights) + 1
+    # fewer documents or less cost a sequence than asked for here would need more sequences
+    assert n >= max(-(-sum(counts.values()) // most), -(-sum(x * x * k for x, k in counts.items()) // cost), -(-sum(x * k for x, k in counts.items()) // 40))
