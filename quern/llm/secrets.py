@@ -34,6 +34,7 @@ class Rule:
     """Matches of ``pattern``, leftmost and not overlapping; those with a shorter ``group`` than ``least`` are dropped.
 
     ``literal``: what every match holds. Texts without it are passed over.
+    ``plain``: the pattern for engines without possessive loops and lookahead.
     """
 
     kind: str
@@ -43,6 +44,7 @@ class Rule:
     version: int = 1
     base: bool = False
     literal: str = ""
+    plain: str = ""
 
     @property
     def key(self) -> str:
@@ -66,9 +68,16 @@ PEM = (
     r"""|(?:[\s"'`,+#*>|]|\\[nrt])*+(?:[A-Za-z0-9+/=]{20,}+|[A-Za-z0-9+/]++=++(?![A-Za-z0-9]))"""
     rf"""|(?:[\x20\t]*+{_END_OF_LINE})++[\x20\t]*+[A-Za-z0-9+/=]++(?=[\x20\t]*+(?:[\r\n"'`]|\\[rn]|\z)))*+)"""
 )
+#: The same for a key with its END; without END, only lines of the long and the padded kind belong to it.
+PEM_PLAIN = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"(?:[^-]*(?:-{1,4}[^-]+)*-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_END_OF_LINE}[\x20\t]*(?:Proc-Type|DEK-Info):[^\r\n\\]*"
+    r"""|(?:[\s"'`,+#*>|]|\\[nrt])*(?:[A-Za-z0-9+/=]{20,}|[A-Za-z0-9+/]+=+))*)"""
+)
 RULES = [
     *BASE_RULES,
-    Rule("pem", PEM, version=2, literal="PRIVATE KEY-----"),
+    Rule("pem", PEM, version=2, literal="PRIVATE KEY-----", plain=PEM_PLAIN),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", literal="gh"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", literal="xox"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}", literal="AIza"),

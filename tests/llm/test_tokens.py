@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-
 from pyspark.sql import functions as F
 
 from quern.llm import packing, token_files, tokens
@@ -79,6 +80,24 @@ def test_one_row_that_recurs_fills_many_parts(spark, tmp_path):
     assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1].tolist()]
 
 
+def test_a_range_of_documents_is_found_by_statistics(spark, tmp_path):
+    """Row groups hold ranges of ids that don't overlap, columns have page indexes, and a range reaches the scan."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("w"), "id", F.lit(" ")), 40).alias("text")).repartition(3)
+    token_files.write_token_files(docs, f"file://{tmp_path}/t", VOCABULARY, page_rows=50, row_group_bytes=64 << 10)
+    ranges = []
+    for f in Path(f"{tmp_path}/t").glob("*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        for g in map(meta.row_group, range(meta.num_row_groups)):
+            columns = [g.column(c) for c in range(g.num_columns)]
+            assert all(c.has_offset_index and c.has_column_index for c in columns if c.path_in_schema in ("doc_id", "n_tokens"))
+            assert all(c.has_offset_index for c in columns)
+            ranges.append((columns[0].statistics.min, columns[0].statistics.max))
+    assert len(ranges) >= 2 and all(a[1] < b[0] for a, b in zip(sorted(ranges), sorted(ranges)[1:]))
+    some = token_files.read_token_files(spark, f"file://{tmp_path}/t").where("doc_id between 1000 and 1040")
+    assert sorted(r.doc_id for r in some.collect()) == list(range(1000, 1041))
+    assert "GreaterThanOrEqual(doc_id,1000)" in some._jdf.queryExecution().executedPlan().toString()
+
+
 def test_token_files_of_no_rows(spark, no_docs, tmp_path):
     token_files.write_token_files(no_docs, f"file://{tmp_path}/none", VOCABULARY)
     assert token_files.digests(token_files.read_token_files(spark, f"file://{tmp_path}/none")).collect() == []
