@@ -94,9 +94,8 @@ def filter_3vl_and_or_not(spark, sf):
 )
 def is_missing(spark, sf):
     t = scan(spark, sf, "events")
-    least = t.df.agg(F.min("ts").alias("least"))
-    df = t.df.join(F.broadcast(least))  # one row
-    t = Table(df).query("event_id", F.nullif("user_id", F.lit(8)).alias("u"), F.nullif("value", F.lit(6.55)).alias("v"), F.nullif("event_type", F.lit("error")).alias("e"), F.nullif("ts", F.col("least")).alias("i"))
+    least = t.df.agg(F.min("ts").alias("least")).scalar()
+    t = t.query("event_id", F.nullif("user_id", F.lit(8)).alias("u"), F.nullif("value", F.lit(6.55)).alias("v"), F.nullif("event_type", F.lit("error")).alias("e"), F.nullif("ts", least).alias("i"))
     return t.query("event_id", *(V.flag(V.is_missing(c, double=c == "v")).alias("m" + c) for c in "uvei"), V.flag(V.is_missing(V.to_int("u"))).alias("mn")).df
 
 

@@ -90,6 +90,9 @@ def test_rows(spark):
     assert t.where(t["v"].isNull()).n_rows() == 1
     assert sorted(rows.export_rows(t), key=lambda r: r[0])[2] == (2, "k2", 1.0)
     assert rows.import_rows(spark, [], "i int").n_rows() == 0
+    every = [(1, 2**40, 1.5, "é", datetime(2020, 1, 2, 3, 4, 5, 6000)), (None,) * 5]
+    back = list(rows.export_rows(rows.import_rows(spark, every, "i int, l long, d double, s string, t timestamp")))
+    assert sorted(back, key=str) == sorted(every, key=str)
 
 
 def test_streams(spark, tmp_path):
