@@ -188,12 +188,10 @@ def fit(x: np.ndarray, y: np.ndarray, *, bins: int = 32, rounds: int = 120, pair
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, **options) -> Gam:
     """Learn ``label`` from at most ``sample`` rows that are not held out."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = measure(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(1)], ["x", "y"])
+    def features(col: pa.Array) -> pa.Array:
+        return pa.array(list(measure(col)), pa.list_(pa.float64()))
 
-    rows: pd.DataFrame = training_rows(docs, labels, label, id_col=id_col, text_col=text_col, sample=sample).mapInArrow(scan, "x array<double>, y int").toPandas()
+    rows: pd.DataFrame = training_rows(docs, labels, label, features, "array<double>", id_col=id_col, text_col=text_col, sample=sample).toPandas()
     order = sorted(range(len(rows)), key=lambda i: (*rows.x[i], rows.y[i]))  # the order rows arrive in is not fixed
     x = np.array([rows.x[i] for i in order], float).reshape(-1, len(FEATURES))
     return fit(x, rows.y.to_numpy()[order].astype(float), **options)

@@ -165,16 +165,20 @@ def fit(rows: list[np.ndarray], y: np.ndarray, known: np.ndarray | None = None,
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, terms: int = 6000, least_rows: int = 4, **options) -> Machine:
     """Learn ``label`` from at most ``sample`` rows that are not held out."""
 
-    rows = stage(training_rows(docs, labels, label, id_col=id_col, text_col=text_col, sample=sample), "teaching")
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).first()
+
+    def features(col: pa.Array) -> pa.Array:
+        found, row = distinct_terms(*hashed_terms(col))
+        ends = np.searchsorted(row, np.arange(len(col) + 1))
+        return pa.array([found[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:])], pa.binary())
+
+    rows = stage(training_rows(docs, labels, label, features, "binary", id_col=id_col, text_col=text_col, sample=sample), "teaching")
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
 
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 b = batch.slice(lo, 512)
-                found, row = distinct_terms(*hashed_terms(b.column(0)))
-                ends = np.searchsorted(row, np.arange(b.num_rows + 1))
-                yield [found[a:z] for a, z in zip(ends[:-1], ends[1:])], b.column(1).to_numpy()
+                yield [np.frombuffer(x, np.int32) for x in b.column(0).to_pylist()], b.column(1).to_numpy()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found, y in terms_of(batches):

@@ -69,10 +69,9 @@ def test_teaching_rows_are_bounded(spark):
 
     docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(i, f"long {'x ' * 50_000}") for i in range(2, 30)], "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)], "doc_id long, toxic int")
-    rows = training_rows(docs, labels, "toxic", id_col="doc_id", text_col="text", sample=10).collect()
-    assert len(rows) <= 10
-    every = training_rows(docs, labels, "toxic", id_col="doc_id", text_col="text", sample=1000)
-    assert every.where("text like 'text %'").count() == 1
+    rows = lambda n: training_rows(docs, labels, "toxic", lambda texts: texts, "string", id_col="doc_id", text_col="text", sample=n)
+    assert rows(10).count() <= 10
+    assert rows(1000).where("x like 'text %'").count() == 1 and rows(1000).count() == len([i for i in range(1, 30) if zlib.crc32(str(i).encode()) % 5])
     model = toxicity.train(docs, labels)
     assert len(model.known) <= 200 and toxicity.score_texts(docs, model).count() == docs.count()
 
