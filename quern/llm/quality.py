@@ -41,7 +41,24 @@ def _class(chars: bytes) -> np.ndarray:
 _UPPER, _DIGIT = _class(bytes(range(65, 91))), _class(bytes(range(48, 58)))
 _MARK, _SYMBOL = _class(b".,;:!?'\"()-"), _class(b"#$%&*+/<=>@[\\]^_`{}~|!")
 _BAR, _BLANK, _LINE, _STOP = _class(b"|"), _class(b" \t"), _class(b"\n"), _class(b".")
+ROWS = 1 << 10
 _WIDE = np.concatenate((np.zeros(128, np.int64), np.ones(128, np.int64)))
+_CLASSES = np.column_stack([_UPPER, _DIGIT, _MARK, _SYMBOL, _BAR, _BLANK, _LINE, _WIDE, _STOP, words.IS_WORD.astype(np.int64)])
+
+
+def repeats(values: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``n`` rows how many different values it has and how often the commonest; ``row`` rises."""
+    kinds, most = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for lo in range(0, n, ROWS):  # a key holds the row in 10 bits and 54 bits of the hash
+        a, z = np.searchsorted(row, (lo, lo + ROWS))
+        key = np.sort((row[a:z] - lo).astype(np.uint64) << np.uint64(54) | values[a:z] >> np.uint64(10))
+        if len(key):
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            of = (key[start] >> np.uint64(54)).astype(np.int64) + lo
+            kinds += np.bincount(of, minlength=n)
+            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            most[of[first]] = np.maximum.reduceat(np.diff(np.concatenate((start, [len(key)]))), first)
+    return kinds, most
 
 
 def measure(col: pa.Array) -> np.ndarray:
@@ -51,26 +68,25 @@ def measure(col: pa.Array) -> np.ndarray:
     n = len(offs) - 1
     size, count = np.diff(offs).astype(float), np.diff(woffs).astype(float)
 
-    def share(per_byte: np.ndarray) -> np.ndarray:
-        c = np.concatenate(([0], np.cumsum(per_byte)))
-        return (c[offs[1:]] - c[offs[:-1]]) / np.maximum(size, 1)
-
-    letters = share(words.IS_WORD[data].astype(np.int64))
+    row = np.repeat(np.arange(n), np.diff(offs))
+    counts = np.bincount(row << 8 | data, minlength=n << 8).reshape(n, 256)
+    upper, digit, mark, symbol, bar, blank, line, wide, stop, letter = (counts @ _CLASSES).T / np.maximum(size, 1)
     before = np.concatenate(([32], data[:-1])) if len(data) else data
-    symbol = _SYMBOL[data]
-    again = symbol * (data == before)
-    distinct, pairs, top = np.ones(n), np.ones(n), np.zeros(n)
-    two = words.ngrams(h, 2)
-    for i in np.flatnonzero(count):
-        a, z = woffs[i], woffs[i + 1]
-        _, k = np.unique(h[a:z], return_counts=True)
-        distinct[i], top[i] = len(k) / (z - a), k.max() / (z - a)
-        if z - a > 1:
-            pairs[i] = len(np.unique(two[a : z - 1])) / (z - a - 1)
+    before[offs[:-1][size > 0]] = 32  # no text depends on the one before
+
+    def share(where: np.ndarray) -> np.ndarray:
+        return np.bincount(row[np.flatnonzero(where)], minlength=n) / np.maximum(size, 1)
+
+    again = share((data == before) & (_SYMBOL[data] > 0))
+    capitals = share((_UPPER[data] > 0) & (_BLANK[before] > 0))
+    kinds, most = repeats(h, np.repeat(np.arange(n), np.diff(woffs)), n)
+    distinct, top = np.where(count > 0, kinds / np.maximum(count, 1), 1), most / np.maximum(count, 1)
+    two, at = words.own_ngrams(h, woffs, 2)
+    kinds, _ = repeats(two, np.searchsorted(woffs, at, side="right") - 1, n)
+    pairs = np.where(count > 1, kinds / np.maximum(count - 1, 1), 1)
     columns = [
-        np.log1p(size), np.log1p(count), letters * size / np.maximum(count, 1), share(_UPPER[data]), share(_DIGIT[data]), share(_MARK[data]),
-        share(symbol), share(again), share(_BAR[data]), share(_BLANK[data]), share(_LINE[data]), share(_WIDE[data]), distinct, pairs, top,
-        share(_STOP[data]), share(_UPPER[data] * _BLANK[before]),
+        np.log1p(size), np.log1p(count), letter * size / np.maximum(count, 1), upper, digit, mark, symbol, again, bar, blank, line, wide,
+        distinct, pairs, top, stop, capitals,
     ]
     return np.column_stack(columns).astype(np.float64) if n else np.zeros((0, len(FEATURES)))
 

@@ -49,6 +49,18 @@ def test_machine_margin_is_the_sum_over_pairs():
     assert np.allclose(m.margins(term, row, 4), want)
 
 
+def test_repeats_against_plain_counts():
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(0, 9, 2500)
+    row = np.repeat(np.arange(2500), sizes)
+    values = (rng.integers(0, 5, len(row)).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    kinds, most = quality.repeats(values, row, 2500)
+    for i in range(2500):
+        k = np.unique(values[row == i], return_counts=True)[1]
+        assert (kinds[i], most[i]) == (len(k), k.max(initial=0))
+    assert [x.tolist() for x in quality.repeats(values[:0], row[:0], 3)] == [[0] * 3] * 2
+
+
 def test_a_term_that_tells_nothing_alone():
     """``clan`` is as common in either class; beside ``vile`` it decides."""
     rng = random.Random(3)
