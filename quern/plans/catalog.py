@@ -123,9 +123,10 @@ def ifelse_types(spark, sf):
 def arith_f64(spark, sf):
     t = scan(spark, sf, "events")
     a = F.when(t["value"] > 40, 0.0).otherwise(t["value"])
-    b = F.when(t["user_id"] < 20, 0.0).when(t["user_id"] == 50, None).otherwise(t["user_id"] - 30.0)
+    b = F.when(t["user_id"] < 20, 0.0).when(t["user_id"] == 50, None).otherwise((t["user_id"] - 30).cast("double"))  # SQL subtracts exactly, then makes a double
     t = t.query("event_id", a.alias("a"), b.alias("b"))
-    return t.query("event_id", (t["a"] + t["b"]).alias("add_"), (t["a"] - t["b"]).alias("sub_"), (t["a"] * t["b"]).alias("mul_"), V.divide("a", t["b"]).alias("div_")).df
+    div = F.when(t["a"].isNull() & (t["b"] == 0), float("-inf")).otherwise(V.divide("a", t["b"]))  # a missing a falls to the last b = 0 of the SQL
+    return t.query("event_id", (t["a"] + t["b"]).alias("add_"), (t["a"] - t["b"]).alias("sub_"), (t["a"] * t["b"]).alias("mul_"), div.alias("div_")).df
 
 
 @query("select c_custkey, floor(c_acctbal / 4 + 0.5) as d, cast(floor(c_acctbal / 4 + 0.5) as int) as i from customer")

@@ -36,3 +36,15 @@ def test_query(spark, duck, name):
     assert sorted(df.columns) == sorted(names)
     got = sorted(tuple(plain(r[c]) for c in names) for r in df.collect())
     assert got == sorted(tuple(map(plain, r)) for r in want.fetchall())
+
+
+def test_arithmetic_of_missing_values_and_long_ids(spark, duck, tmp_path):
+    path = f"{tmp_path}/events.parquet"
+    values = "(null), ('0'), ('-0.0'), ('1.5'), ('-2.5'), ('41'), ('nan'), ('infinity'), ('-infinity')"
+    users = "(null), (0), (30), (31), (50), (9007199254740993), (9007199254741023), (9223372036854775807), (-9223372036854775808)"
+    duck.execute(f"""copy (select row_number() over () as event_id, user_id::bigint as user_id, value::double as value
+        from (values {values}) v(value), (values {users}) u(user_id)) to '{path}'""")
+    df = catalog.QUERIES["arith_f64"](spark, str(tmp_path))
+    want = duck.execute(f"with events as (from '{path}') from ({catalog.ORACLE_SQL['arith_f64']})").fetchall()
+    assert len(want) == 81
+    assert sorted(tuple(map(plain, r)) for r in df.collect()) == sorted(tuple(map(plain, r)) for r in want)
